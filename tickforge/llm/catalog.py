@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_token_files, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op09_mixing, op10_token_counts
+from . import op01_token_files, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
 
 QUERIES = {
     "op1_token_files": op01_token_files.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_simhash": op05_simhash.query,
     "op6_line_dedup": op06_line_dedup.query,
     "op7_packing": op07_packing.query,
+    "op8_lattice_lm": op08_lattice_lm.query,
     "op9_mixing": op09_mixing.query,
     "op10_token_counts": op10_token_counts.query,
 }
