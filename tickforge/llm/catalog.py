@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import op01_token_files, op02_quality, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
+from . import op01_token_files, op02_quality, op03_media, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
 
 QUERIES = {
     "op1_token_files": op01_token_files.query,
     "op2_quality": op02_quality.query,
+    "op3_media": op03_media.query,
     "op4_winnowing": op04_winnowing.query,
     "op5_simhash": op05_simhash.query,
     "op6_line_dedup": op06_line_dedup.query,
