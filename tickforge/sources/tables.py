@@ -25,13 +25,12 @@ def read_messages_csv(spark: SparkSession, path: str, symbol: str, skip_first_ro
     """Six integers a line without header: the messages in file order, and the rejected lines.
 
     The first data line is skipped as the reference loader does, unless told otherwise. File order is the file's own, so
-    it is read as one unsplit file (``wholetext`` off, one partition).
+    the lines are numbered in one task.
     """
-    lines = spark.read.option("mode", "PERMISSIVE").schema(MESSAGE).csv(path).coalesce(1)
-    lines = lines.withColumn("seq", F.monotonically_increasing_id()).filter(F.col("seq") >= (1 if skip_first_row else 0))
-    good = F.col("_corrupt_record").isNull()
-    lines = lines.select("seq", F.lit(symbol).alias("symbol"), *[x.split()[0] for x in MESSAGE.split(", ")])
-    return lines.filter(good).drop("_corrupt_record"), lines.filter(~good).select("seq", "_corrupt_record")
+    lines = spark.read.text(path).coalesce(1).withColumn("seq", F.monotonically_increasing_id()).filter(F.col("seq") >= (1 if skip_first_row else 0))
+    read = lines.select("seq", "value", F.from_csv("value", MESSAGE, {"mode": "PERMISSIVE"}).alias("m"))
+    good = F.col("m._corrupt_record").isNull()
+    return read.filter(good).select("seq", F.lit(symbol).alias("symbol"), "m.*").drop("_corrupt_record"), read.filter(~good).select("seq", "value")
 
 
 def write_messages_csv(messages: DataFrame, path: str) -> None:
