@@ -43,10 +43,10 @@ def test_network_learns_and_calibrates():
     x = draw.normal(size=(3000, quality.FEATURES))
     p = 1 / (1 + np.exp(-2 * x[:, 0]))
     y = (draw.random(3000) < p).astype(float)
-    scores = quality.Network(x, y).probability(x)
-    for low in (0.1, 0.3, 0.5, 0.7):
-        inside = (scores >= low) & (scores < low + 0.2)
-        assert abs(y[inside].mean() - scores[inside].mean()) < 0.15
+    network = quality.Network(x[:2000], y[:2000])
+    fresh, truth = network.log_odds(x[2000:]), 2 * y[2000:] - 1
+    loss = lambda t: np.logaddexp(0, -truth * fresh / t).mean()
+    assert network.temperature > 1 and loss(network.temperature) < min(loss(1.0), np.log(2))
 
 
 def plain_lattice(word, weight):
@@ -122,7 +122,7 @@ def test_interleaved_pages_resolve_by_digest(spark):
     pages = spark.createDataFrame([(1, html), (2, None), (1, html)], "page_id long, html string")
     found = media.interleave(pages, spark.createDataFrame([(bytearray(payload),), (None,)], "payload binary")).collect()
     one = next(r for r in found if r.page_id == 1)
-    assert [(i.kind, i.text or i.caption, i.media and i.media.n_bytes) for i in one["items"]][::2] == [("text", "a", None)] * 2 + [("media", "first", 7)] * 0 or one is not None
+    assert [i.text for i in one["items"] if i.kind == "text"] == ["a", "a", "b", "b"]  # the page is there twice
     assert {(i.caption, i.media.n_bytes if i.media else None) for i in one["items"] if i.kind == "media"} == {("first", 7), ("second", None)}
     assert next(r for r in found if r.page_id == 2)["items"] == []
 
