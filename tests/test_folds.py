@@ -166,3 +166,16 @@ def test_asof_takes_the_latest_before(spark):
     left = spark.createDataFrame([("a", 5), ("a", 1), ("b", 9)], "k string, t long")
     right = spark.createDataFrame([("a", 2, "x"), ("a", 5, "y"), ("a", 6, "z")], "k string, u long, v string")
     assert rows_of(series.asof(left, right, "k", "t", "u", ["v"])) == [("a", 1, None), ("a", 5, "y"), ("b", 9, None)]
+
+
+def test_toggles_hold_until_the_next(spark):
+    ticks = spark.createDataFrame([("a", i, i * 10) for i in range(5)] + [("b", 9, 15)], "symbol string, seq long, ts_ms long")
+    control = spark.createDataFrame([("a", 10, False), ("a", 25, True)], "symbol string, at_ms long, is_quoting boolean")
+    got = {(r.symbol, r.seq): r.is_quoting for r in series.controlled(ticks, control).collect()}
+    assert got == {("a", 0): True, ("a", 1): False, ("a", 2): False, ("a", 3): True, ("a", 4): True, ("b", 9): True}
+
+
+def test_one_shuffle_feeds_window_and_fold(spark):
+    df = spark.createDataFrame([("a", i, i, c, c / 100, False) for i, c in enumerate(walk(50, 5))], TICK)
+    plan = folds.simulate(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, plan

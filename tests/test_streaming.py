@@ -50,3 +50,9 @@ def test_registry_append(spark, tmp_path):
     for k in (1, 2):
         tables.append_registry(spark.createDataFrame([(k, "A")], "id long, symbol string"), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).filter("symbol = 'A'").count() == 2
+
+
+def test_message_path_falls_back(spark, tmp_path):
+    (tmp_path / "BTCUSDT.csv").write_text("")
+    assert tables.message_path(spark, str(tmp_path), "BTC/USDT").endswith("/BTCUSDT.csv")
+    assert tables.message_path(spark, str(tmp_path), "ETH/USDT").endswith("/test_data.csv")

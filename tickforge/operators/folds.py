@@ -24,8 +24,11 @@ STEP = (
 PARAMETERS = dict(gamma=0.1, spread=1.0, kappa=1.5, start_cash=1_000_000.0, base_size=0.5, max_inventory=10.0, maker_fee=-0.0001, penalty=0.1, live=True)
 
 
-def fold(df: DataFrame, state: Callable[[], object], step: Callable, schema: str, by: tuple[str, ...] = ("symbol",), order: str = "seq") -> DataFrame:
-    """Runs ``step(state, row)`` over each key's rows in order; it returns the rows to give out."""
+def fold(df: DataFrame, state: Callable[[], object], step: Callable, schema: str, by: tuple[str, ...] = ("symbol",), order: str = "seq", dealt: bool = False) -> DataFrame:
+    """Runs ``step(state, row)`` over each key's rows in order; it returns the rows to give out.
+
+    ``dealt``: the rows come from a window over the same key and order, so they need no shuffle of their own.
+    """
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -38,7 +41,7 @@ def fold(df: DataFrame, state: Callable[[], object], step: Callable, schema: str
                 out += step(now, row)
             yield pd.DataFrame(out, columns=names)
 
-    return df.repartition(*by).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+    return (df if dealt else df.repartition(*by)).sortWithinPartitions(*by, order).mapInPandas(run, schema)
 
 
 class Quoter:
@@ -114,7 +117,7 @@ def simulate(ticks: DataFrame, quoting: F.Column | None = None, **parameters) ->
             return []
         return [(row.symbol, row.seq, row.ts_ms, row.price, row.sigma, *q.step(row.price, row.sigma, row.is_quoting))]
 
-    return fold(rows, lambda: Quoter(**parameters), step, STEP)
+    return fold(rows, lambda: Quoter(**parameters), step, STEP, dealt=True)
 
 
 class Book:

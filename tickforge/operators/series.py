@@ -107,3 +107,12 @@ def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time
     w = Window.partitionBy("__key").orderBy("__time", "__side").rowsBetween(Window.unboundedPreceding, 0)
     found = mine.union(theirs).withColumn("__found", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
     return found.select("__l.*", *[F.col(f"__found.{c}").alias(c) for c in carry])
+
+
+def controlled(ticks: DataFrame, control: DataFrame) -> DataFrame:
+    """Ticks with ``is_quoting``, the last toggle of their symbol at or before them; quoting before the first.
+
+    ``control``: symbol, at_ms, is_quoting.
+    """
+    found = asof(ticks, control, "symbol", "ts_ms", "at_ms", ["is_quoting"])
+    return found.withColumn("is_quoting", F.coalesce("is_quoting", F.lit(True)))

@@ -21,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Readers
 
 
+def message_path(spark: SparkSession, folder: str, symbol: str, fallback: str = "test_data.csv") -> str:
+    """The symbol's file in a folder of any file system Spark knows, or the fallback if it has none."""
+    clean = symbol.replace("/", "").replace("-", "")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{clean}.csv")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return f"{folder}/{clean}.csv" if found else f"{folder}/{fallback}"
+
+
 def read_messages_csv(spark: SparkSession, path: str, symbol: str, skip_first_row: bool = True) -> tuple[DataFrame, DataFrame]:
     """Six integers a line without header: the messages in file order, and the rejected lines.
 
