@@ -218,10 +218,10 @@ def tumbling_volume(spark, d):
     return rows.select("symbol", F.unix_seconds("w.start").alias("start"), "n", "lots")
 
 
-@query("sliding_vwap", f"""WITH {sql.TICKS} SELECT symbol, (ts_ms // 3600000 - o) * 3600 AS start, round(CAST(sum(cents * lots) AS DOUBLE) / CAST(sum(lots) AS DOUBLE) / 100, 4) AS vwap
+@query("sliding_vwap", f"""WITH {sql.TICKS} SELECT symbol, (ts_ms // 3600000 - o) * 3600 AS start, round(CAST(sum(cents * lots) AS DOUBLE) / CAST(nullif(sum(lots), 0) AS DOUBLE) / 100, 4) AS vwap
 FROM ticks, (SELECT unnest([0, 1, 2, 3, 4, 5]) AS o) GROUP BY ALL""")
 def sliding_vwap(spark, d):
-    rows = live.late_safe(t.ticks(spark, d)).groupBy("symbol", F.window("at", "6 hours", "1 hour").alias("w")).agg(F.round(F.sum(F.col("cents") * F.col("lots")) / F.sum("lots") / 100, 4).alias("vwap"))
+    rows = live.late_safe(t.ticks(spark, d)).groupBy("symbol", F.window("at", "6 hours", "1 hour").alias("w")).agg(F.round(F.try_divide(F.sum(F.col("cents") * F.col("lots")), F.sum("lots")) / 100, 4).alias("vwap"))
     return rows.select("symbol", F.unix_seconds("w.start").alias("start"), "vwap")
 
 
