@@ -6,6 +6,7 @@ socket or a broker that delivers the same JSON.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ def folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tickforge-")
     return f"{base}/stream-{uuid.uuid4().hex}"
