@@ -7,11 +7,11 @@ is in, across batches. Memory is one batch and that state, whatever a symbol's l
 from __future__ import annotations
 
 import math
-from collections import deque
+from collections import deque, namedtuple
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ STEP = (
     "symbol string, seq long, ts_ms long, mid double, sigma double, is_quoting boolean, bid double, ask double, side string, size double, "
     "fill_price double, realized double, cash double, inventory double, lots long, net_worth double, step_pnl double, reward double, terminated boolean"
 )
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
 PARAMETERS = dict(gamma=0.1, spread=1.0, kappa=1.5, start_cash=1_000_000.0, base_size=0.5, max_inventory=10.0, maker_fee=-0.0001, penalty=0.1, live=True)
 
 
@@ -29,19 +30,23 @@ def fold(df: DataFrame, state: Callable[[], object], step: Callable, schema: str
 
     ``dealt``: the rows come from a window over the same key and order, so they need no shuffle of their own.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    kinds = [ARROW[t] for t in types]
+    record = list(df.columns)
+    places = [record.index(c) for c in by]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, now = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, key, now = namedtuple("Tick", record)._make, None, None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (of := tuple(getattr(row, c) for c in by)) != key:
+            out: list[tuple] = []
+            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (of := [values[k] for k in places]) != key:
                     key, now = of, state()
-                out += step(now, row)
-            yield pd.DataFrame(out, columns=names)
+                out += step(now, make(values))
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
 
-    return (df if dealt else df.repartition(*by)).sortWithinPartitions(*by, order).mapInPandas(run, schema)
+    return (df if dealt else df.repartition(*by)).sortWithinPartitions(*by, order).mapInArrow(run, schema)
 
 
 class Quoter:
