@@ -241,10 +241,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id; of repeated rows of it, one."""
-    found = near_duplicates(docs)
-    first = stored(found.filter("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "__kept"), "kept-ids")
-    kept = docs.join(first, docs["doc_id"].cast("long") == first["__kept"], "left_semi")
+    """One document of each group stays, that of the smallest doc_id; of repeated rows of it, one.
+
+    Rows without doc_id stay, one in all, where no row with one is in their group.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = stored(near_duplicates(docs).filter(same).select("doc_id").distinct().withColumnRenamed("doc_id", "__kept"), "kept-ids")
+    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__kept"]), "left_semi")
     return kept.dropDuplicates(["doc_id"])
 
 
