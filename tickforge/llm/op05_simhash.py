@@ -92,7 +92,9 @@ def variants(fps: DataFrame) -> DataFrame:
                     owner = np.arange(at, min(at + 50_000, len(key))) % len(fp)
                     yield pa.record_batch([pa.array(key[at : at + 50_000].view(np.int64)), pa.array(fp[owner])], names=["key", "fp"])
 
-    return fps.select("fp").mapInArrow(emit, "key long, fp long")
+    # a fingerprint becomes 131 rows: dealt to all shuffle partitions first, so that no task writes a merged partition's
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "key long, fp long")
 
 
 def _star(key: int, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
