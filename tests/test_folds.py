@@ -86,6 +86,13 @@ def test_book_equals_emulator(spark, batch):
     assert depth == want
 
 
+def test_a_full_pool_drops_the_rest_of_an_order():
+    book = folds.Book(max_resting=2)
+    assert [book.add(k, 100 + k, 5, 1)[1] for k in range(3)] == ["RESTING", "RESTING", "POOL_EXHAUSTED"]
+    assert book.add(9, 100, 7, 0) == ([(0, 100, 5)], "RESTING") and book.cancel(1) == 5 and book.add(10, 105, 1, 1)[1] == "RESTING"
+    assert book.cancel(10) == 1 and book.cancel(10) == 0
+
+
 def plain_quoter(prices, live=True, most=10.0, base=0.5):
     """Independent form of the live recurrence, from one list of prices."""
     import math

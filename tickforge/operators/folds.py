@@ -128,8 +128,8 @@ def simulate(ticks: DataFrame, quoting: F.Column | None = None, **parameters) ->
 class Book:
     """Price-time priority for one symbol: levels are queues of [id, quantity left], best prices come from heaps."""
 
-    def __init__(self, prices: int = 1_000_000, ids: int = 5_000_000):
-        self.prices, self.ids = prices, ids
+    def __init__(self, prices: int = 1_000_000, ids: int = 5_000_000, max_resting: int | None = None):
+        self.prices, self.ids, self.max_resting, self.resting = prices, ids, max_resting, 0
         self.levels: tuple[dict, dict] = ({}, {})  # by side: price to queue
         self.volumes: tuple[dict, dict] = ({}, {})
         self.heaps: tuple[list, list] = ([], [])
@@ -160,9 +160,13 @@ class Book:
                 if not resting[1]:
                     queue.popleft()
                     if n:
+                        self.resting -= 1
                         self.live.pop(resting[0], None)
         if not qty:
             return fills, "FILLED" if fills else "EMPTY"
+        if self.max_resting is not None and self.resting >= self.max_resting:
+            return fills, "POOL_EXHAUSTED"
+        self.resting += 1
         order = [order_id, qty]
         if order_id < self.ids:
             self.live[order_id] = (side, price, order)
@@ -182,6 +186,7 @@ class Book:
         if price >= self.prices:
             return 0
         del self.live[order_id]
+        self.resting -= 1
         qty, order[1] = order[1], 0  # it leaves its queue when it comes to the front
         self.volumes[side][price] -= qty
         return qty
