@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Price that stands for the middle when a book is empty.
+#: The middle of an empty book, the quoter's defaults, and the bounds of a half spread over the middle.
 EMPTY_MID = 62_500.0
 DEFAULT_GAMMA, DEFAULT_SPREAD, DEFAULT_KAPPA = 0.1, 1.0, 1.5
 LOWEST_HALF, HIGHEST_HALF = 0.00003, 0.0001
@@ -94,7 +94,7 @@ def mid_price(best_bid: Column, best_ask: Column) -> Column:
 
 
 def marker(side: Column) -> Column:
-    """How a chart shows an execution."""
+    """How a chart shows an execution (positions, colours and shapes are fixed values)."""
     buy = side == "BUY"
     pick = lambda a, b: F.when(buy, a).otherwise(b)
     return F.struct(pick("belowBar", "aboveBar").alias("position"), pick("#10B981", "#EF4444").alias("color"), pick("arrowUp", "arrowDown").alias("shape"), side.alias("text"))

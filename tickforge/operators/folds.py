@@ -22,6 +22,7 @@ STEP = (
     "fill_price double, realized double, cash double, inventory double, lots long, net_worth double, step_pnl double, reward double, terminated boolean"
 )
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+#: What a quoter runs with unless told otherwise.
 PARAMETERS = dict(gamma=0.1, spread=1.0, kappa=1.5, start_cash=1_000_000.0, base_size=0.5, max_inventory=10.0, maker_fee=-0.0001, penalty=0.1, live=True)
 
 

@@ -10,7 +10,7 @@ from tickforge.functions.market import marker, normalize_symbol
 
 from .series import last_by, newest
 
-#: What a model without hyperparameters runs with.
+#: What a model without hyperparameters runs with.
 DEFAULTS = {"max_inventory": 10.0, "base_trade_size": 0.5, "kappa": 1.5}
 HYPER = "struct<max_inventory:double,base_trade_size:double,kappa:double>"
 
