@@ -71,24 +71,25 @@ def copies(sizes: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
     based = running_base(same, ["source"], ["shard"], "__n", "__base").alias("b")
     goal = targets(rows.select("source", "size"), **mixture).alias("t")
     known = based.join(goal, F.col("b.source").eqNullSafe(F.col("t.source"))).select("b.shard", "b.source", "__first", "__base", "source_size", "target")
-    known = stored(known, "places").alias("k")
-    placed = rows.alias("r").join(known, (F.col("r.shard") == F.col("k.shard")) & F.col("r.source").eqNullSafe(F.col("k.source")))
+    known = stored(known, "places")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rank = F.col("idx") - F.col("__first") + F.col("__base")
     drawn = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("r.source"), F.lit("\0null"))), F.lit(1 << 30)) / float(1 << 30)
 
-    def crossed(offset: Column) -> Column:
-        return (F.floor(offset + ratio * (rank + 1)) - F.floor(offset + ratio * rank)).cast("int")
+    def placed(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.alias("r").join(right.alias("k"), (F.col("r.shard") == F.col("k.shard")) & F.col("r.source").eqNullSafe(F.col("k.source")))
 
-    def nth(j: int) -> Column:
-        return F.pmod(drawn + j * GOLDEN, F.lit(1.0))
+    def crossed(draw: Column) -> Column:
+        offset = F.pmod(drawn + draw * GOLDEN, F.lit(1.0))
+        return (F.floor(offset + ratio * (rank + 1)) - F.floor(offset + ratio * rank)).cast("int")
 
-    sums = placed.groupBy("r.source").agg(F.max("target").alias("__target"), *[F.sum(crossed(nth(j)) * F.col("size")).alias(f"__{j}") for j in range(DRAWS)])
+    slim = placed(rows.select("shard", "source", "idx", "size"), known)
+    sums = slim.groupBy("r.source").agg(F.max("target").alias("__target"), *[F.sum(crossed(F.lit(j)) * F.col("size")).alias(f"__{j}") for j in range(DRAWS)])
     misses = F.array(*[F.abs(F.col(f"__{j}") - F.col("__target")) for j in range(DRAWS)])
     best = sums.select(F.col("source").alias("__source"), (F.array_position(misses, F.array_min(misses)) - 1).alias("__draw"))
-    out = placed.join(best, F.col("r.source").eqNullSafe(F.col("__source")))
-    chosen = crossed(F.pmod(drawn + F.col("__draw") * GOLDEN, F.lit(1.0))).alias("copies")
-    return out.select("r.doc_id", "r.source", "r.size", "r.row", "source_size", "target", chosen)
+    # what a row needs is joined by file and source, so whole rows are never dealt by source
+    known = stored(known.join(best, F.col("source").eqNullSafe(F.col("__source"))).drop("__source"), "draws")
+    return placed(rows, known).select("r.doc_id", "r.source", "r.size", "r.row", "source_size", "target", crossed(F.col("__draw")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
@@ -98,5 +99,6 @@ def mix(docs: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = copies(sized(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.lit(0)))
+    # stored, so that the range partitioner's sampling doesn't count the words a second time
+    out = copies(stored(sized(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.lit(0)), "sizes"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
