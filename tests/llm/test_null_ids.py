@@ -28,3 +28,12 @@ def test_every_operator_keeps_the_rows(holes, spark):
 def test_keep_one_without_ids(holes):
     kept = [r.doc_id for r in op05_simhash.keep_one(holes).collect()]
     assert sorted(kept, key=repr) == [1, 2, None]
+
+
+def test_one_row_of_each_component_stays(spark):
+    """No text is lost to another that is no near-duplicate of it: not for want of an id, nor for sharing one."""
+    near = "one two three four five six seven eight"
+    rows = [(None, "some text here"), (None, "far away and different words altogether"), (None, None), (1, ""), (5, "alone under this number"), (5, near), (3, near), (None, near), (None, "some text here")]
+    kept = op05_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, ""), (3, near), (5, "alone under this number"), (None, "far away and different words altogether"), (None, "some text here")]
+    assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)

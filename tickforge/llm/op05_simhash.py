@@ -58,15 +58,16 @@ def fingerprint(text: str) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's 64 bits as a long) of every whole text."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (the fingerprint's 64 bits as a long) and the named columns of every whole text."""
+    rows = texts(docs, *more)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.int64, len(batch))
-            yield pa.record_batch([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(found), *batch.columns[2:]], names=["doc_id", "fp", *more])
 
-    return texts(docs).mapInArrow(take, "doc_id long, fp long")
+    return rows.mapInArrow(take, ", ".join(["doc_id long, fp long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
 
 
 def _masks() -> list[tuple[int, np.ndarray]]:
@@ -231,26 +232,31 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def rooted(classes: DataFrame) -> DataFrame:
+    """Adds root, the least fingerprint of its component, to a table of distinct fingerprints."""
+    roots = components(links(classes))
+    return classes.join(roots, F.col("fp") == F.col("node"), "left").select(*classes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id: the smallest doc_id reachable over links, for every row of docs."""
     fps = stored(fingerprints(docs), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(classes))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = rooted.join(least, "root").select("fp", "component_id")
+    classes = rooted(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
+    least = classes.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_class = classes.join(least, "root").select("fp", "component_id")
     return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id; of repeated rows of it, one.
-
-    Rows without doc_id stay, one in all, where no row with one is in their group.
+    """One row of each component stays, whatever doc_ids its rows have: that of the smallest doc_id (rows without one
+    last), then of the smallest digest of id and text; of repeated rows of it, one.
     """
-    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    first = stored(near_duplicates(docs).filter(same).select("doc_id").distinct().withColumnRenamed("doc_id", "__kept"), "kept-ids")
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    named = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("__key", F.unhex(F.sha2(named, 256)))
+    fps = stored(fingerprints(rows, "__key"), "fingerprints")
+    classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
+    first = rooted(classes).groupBy("root").agg(F.min("first").alias("first")).select("first.__key")
+    return rows.join(stored(first, "kept-rows"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
