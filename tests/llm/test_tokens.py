@@ -25,6 +25,19 @@ def test_encoding_equals_the_library(name, small):
         assert np.frombuffer(mine.encode(text), "<u4").tolist() == mine.tokenizer.encode(text, add_special_tokens=False).ids, text[:60]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_inside_texts(name):
+    """Against the library as it is loaded, with no setting of ours."""
+    from tokenizers import Tokenizer
+
+    fresh, mine = Tokenizer.from_file(vocabulary(name)), encoder(vocabulary(name))
+    for token in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof text|>"):
+        for text in (f"a {token} b", f"a{token}b", f"{token}\n{token}", f"It's {token}, café 東京", token * 40):
+            assert np.frombuffer(mine.encode(text), "<u4").tolist() == fresh.encode(text, add_special_tokens=False).ids, text
+    if name.startswith("byte"):
+        assert np.frombuffer(mine.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+
+
 VALUES = st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=300), max_size=8)
 
 

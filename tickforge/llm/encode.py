@@ -4,7 +4,8 @@ Words of a vocabulary with word ends never cross white space, so a text's ids ar
 row. Each Python worker keeps the ids of the chunks it has met, as bytes of little-endian unsigned 32-bit ids; a text is
 then a join of cached bytes, and only new chunks reach the tokenizers library. A byte-level vocabulary is handed, from
 the same file, to tiktoken, which merges the same pieces to the same ids several times as fast. Texts with characters on
-which the libraries could differ go to the tokenizers library as they are.
+which the libraries could differ, or with the content of an added token, which the library recognises inside a text, go
+to the tokenizers library as they are.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.model = self.tokenizer.model
         self.alphabet = _byte_alphabet()
         self.words = bool(self.model.end_of_word_suffix)
@@ -100,8 +101,11 @@ class Encoder:
         """Ids of the text as little-endian unsigned 32-bit integers."""
         if not text.isascii() and _NOT_PLAIN.search(text) or _ODD.search(text):
             return self._whole(text)
+        lower = text.lower()  # in any case of letters, as a token may be sought in the normalized text
+        if any(content in lower for content in self.added):
+            return self._whole(text)
         if self.words:
-            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+            return b"".join(map(self.chunks.__getitem__, lower.split()))
         return np.array(self.bytewise(text), "<u4").tobytes()
 
 
