@@ -115,6 +115,25 @@ def test_media_round_trip(docs, nothing, spark):
     assert media.features(media.store(nothing.select(F.encode("text", "UTF-8")))).count() == 0
 
 
+def test_no_caption_or_text_is_lost():
+    read = lambda html: [(i["kind"], i["text"] or i["src"], i["caption"]) for i in media.read_html(html)]
+    assert read("<figure><figcaption>before</figcaption><img src=a></figure>b") == [("media", "a", "before"), ("text", "b", None)]
+    assert read("a<figure><figcaption>of a table</figcaption><table><tr><td>x</table></figure>b") == [("text", t, None) for t in ("a", "of a table", "x", "b")]
+    assert read("<figure><img src=a><figcaption>open</figure><p>rest<img src=b alt=c>of it") == [("media", "a", "open"), ("text", "rest", None), ("media", "b", "c"), ("text", "of it", None)]
+    assert read("<img src=a><figcaption>never closed <p>rest") == [("media", "a", None), ("text", "never closed rest", None)]
+    assert read("<figcaption>x<p>y<img src=b><p>z") == [("text", "xy", None), ("media", "b", None), ("text", "z", None)]
+    assert read("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>") == [("media", "a", "out"), ("media", "b", "in")]
+
+
+def test_each_page_row_has_its_own_sequence(spark):
+    html = "<p>a</p><img src=x alt=one><p>b</p><figure><img src=y><figcaption>two</figcaption></figure>"
+    pages = spark.createDataFrame([(1, html), (1, html), (None, "<p>c</p>"), (None, html), (None, None)], "page_id long, html string").repartition(3)
+    found = media.interleave(pages, spark.createDataFrame([(None,)], "payload binary")).collect()
+    one = [(0, "a", None), (1, None, "one"), (2, "b", None), (3, None, "two")]
+    got = sorted(((r.page_id, [(i.position, i.text, i.caption) for i in r["items"]]) for r in found), key=repr)
+    assert got == sorted([(1, one), (1, one), (None, [(0, "c", None)]), (None, one), (None, [])], key=repr)
+
+
 def test_interleaved_pages_resolve_by_digest(spark):
     payload = b"picture"
     digest = hashlib.sha256(media.padded(payload)).hexdigest()

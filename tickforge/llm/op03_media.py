@@ -43,8 +43,9 @@ class _Reader(HTMLParser):
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent = 0
-        self.figure: list[int] = []  # where the open figures' items begin
-        self.caption: list[str] | None = None
+        self.figure: list[dict] = []  # of the open figures: where their items begin, and their captions with the place of each
+        self.caption: list[tuple[int, str]] | None = None  # the open caption's data, with the items before each
+        self.late: list[tuple[int, str]] = []  # texts that belong before the item of that number
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -56,6 +57,7 @@ class _Reader(HTMLParser):
         if tag in _SILENT:
             self.silent += 1
         elif tag == "figcaption":
+            self.end_caption()
             self.flush()
             self.caption = []
         elif tag in _MEDIA:
@@ -67,7 +69,8 @@ class _Reader(HTMLParser):
         elif tag in _BREAKS:
             self.flush()
             if tag == "figure":
-                self.figure.append(len(self.items))
+                self.end_caption()
+                self.figure.append({"start": len(self.items), "captions": []})
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag not in _SILENT:
@@ -76,26 +79,62 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in _SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text, self.caption = " ".join("".join(self.caption).split()), None
-            for item in self.items[self.figure[-1] if self.figure else len(self.items) - 1 :]:
-                if item["kind"] == "media" and text:
-                    item["caption"] = text
+        elif tag == "figcaption":
+            self.end_caption()
         elif tag in _BREAKS:
             self.flush()
             if tag == "figure" and self.figure:
-                self.figure.pop()
+                self.end_figure()
+
+    def end_caption(self) -> None:
+        """The open caption waits for its figure's end; outside figures it is the last media's, or text."""
+        if self.caption is None:
+            return
+        text, self.caption = " ".join("".join(d for _, d in self.caption).split()), None
+        if text and self.figure:
+            self.figure[-1]["captions"].append((len(self.items), text))
+        elif text and self.items and self.items[-1]["kind"] == "media":
+            self.items[-1]["caption"] = text
+        elif text:
+            self.items.append({"kind": "text", "text": text})
+
+    def end_figure(self) -> None:
+        """Captions go to the figure's media, or in their places as text if it has none."""
+        self.end_caption()
+        figure = self.figure.pop()
+        media = [item for item in self.items[figure["start"] :] if item["kind"] == "media"]
+        text = " ".join(t for _, t in figure["captions"])
+        for item in media:
+            if text and not item.get("captioned"):
+                item |= {"caption": text, "captioned": True}
+        if not media:
+            self.late += figure["captions"]
+
+    def end(self) -> None:
+        """What is open at the end of the page is closed; an open caption is text, as the rest of the page is in it."""
+        self.flush()
+        for at in sorted({at for at, _ in self.caption or ()}):
+            self.late.append((at, " ".join("".join(d for k, d in self.caption if k == at).split())))
+        self.caption = None
+        while self.figure:
+            self.end_figure()
+        for at, text in reversed(sorted(self.late, key=lambda x: x[0])):
+            if text:
+                self.items.insert(at, {"kind": "text", "text": text})
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
-            (self.words if self.caption is None else self.caption).append(data)
+            if self.caption is None:
+                self.words.append(data)
+            else:
+                self.caption.append((len(self.items), data))
 
 
 def read_html(html: str | None) -> list[dict]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    reader.flush()
+    reader.end()
     names = [x.split()[0] for x in ITEM.split(", ")]
     return [{n: {"position": k, **item}.get(n) for n in names} for k, item in enumerate(reader.items)]
 
@@ -181,16 +220,22 @@ def references(sequence: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def interleave(pages: DataFrame, payloads: DataFrame, key: str = "page_id") -> DataFrame:
-    """key and items of every page; media items carry the features of their payload, matched by digest.
+    """key and items of every page row; media items carry the features of their payload, matched by digest.
 
-    The join is by digest over references; each sequence is put together again by position.
+    The join is by digest over references; each row's sequence, stored with a number of its own, is put together again by
+    position.
     """
-    known = stored(features(store(payloads)), "features")
-    flat = sequences(pages, key).select(key, F.explode_outer("items").alias("item"))
-    joined = flat.join(known.withColumnRenamed("digest", "known"), F.col("item.digest") == F.col("known"), "left")
-    media = F.when(F.col("known").isNotNull(), F.struct(*[c for c in known.columns if c != "digest"])).alias("media")
+    return assembled(sequences(pages, key), stored(features(store(payloads)), "features"), key)
+
+
+def assembled(sequence: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    numbered = stored(sequence.withColumn("__row", F.monotonically_increasing_id()), "sequences")
+    flat = numbered.select("__row", key, F.explode_outer("items").alias("item"))
+    joined = flat.join(known.withColumnRenamed("digest", "__known"), F.col("item.digest") == F.col("__known"), "left")
+    media = F.when(F.col("__known").isNotNull(), F.struct(*[c for c in known.columns if c != "digest"])).alias("media")
     item = F.struct("item.position", "item.kind", "item.text", "item.src", "item.digest", "item.caption", media)
-    return joined.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), item))).alias("items"))
+    whole = joined.groupBy("__row").agg(F.first(key).alias(key), F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), item))).alias("items"))
+    return whole.select(key, "items")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,5 +248,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), fill))), 256)
     name = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     html = F.concat(F.lit("<article><p>"), name, F.lit('</p><figure><img data-digest="'), digest, F.lit('"><figcaption>'), name, F.lit("</figcaption></figure></article>"))
-    wanted = references(sequences(docs.select("doc_id", html.alias("html")), "doc_id"), "doc_id").select("doc_id", "position", "caption", "digest")
-    return wanted.join(known, "digest").select("doc_id", *[c for c in known.columns if c != "digest"], "position", "caption")
+    found = assembled(sequences(docs.select("doc_id", html.alias("html")), "doc_id"), known, "doc_id")
+    media = references(found, "doc_id")
+    return media.select("doc_id", *[f"media.{c}" for c in known.columns if c != "digest"], "position", "caption")
