@@ -115,6 +115,17 @@ def test_media_round_trip(docs, nothing, spark):
     assert media.features(media.store(nothing.select(F.encode("text", "UTF-8")))).count() == 0
 
 
+def test_no_piece_is_too_long_for_the_lattice():
+    pieces, scores = vocabulary_pieces(vocabulary("piece_bpe_32k.model"))
+    word = " университе".encode()
+    assert word in pieces
+    sums = [0.0] + [-np.inf] * len(word)
+    known = dict(zip(pieces, scores, strict=True))
+    for i in range(1, len(word) + 1):
+        sums[i] = np.logaddexp.reduce([sums[k] + known[word[k:i]] for k in range(i) if word[k:i] in known])
+    assert Lattice(pieces, scores).log_probability([word])[0] == pytest.approx(sums[-1])
+
+
 def test_no_caption_or_text_is_lost():
     read = lambda html: [(i["kind"], i["text"] or i["src"], i["caption"]) for i in media.read_html(html)]
     assert read("<figure><figcaption>before</figcaption><img src=a></figure>b") == [("media", "a", "before"), ("text", "b", None)]
