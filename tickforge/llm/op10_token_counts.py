@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .encode import encoder, vocabulary
-from .shared import running_base, texts
+from .shared import running_base, stored, texts
 
 #: Lengths a block: suffix sums run within blocks, and over the few block totals.
 BLOCK = 256
@@ -40,7 +40,8 @@ def histogram(counted: DataFrame) -> DataFrame:
     ``tokens_kept`` is what stays when every document is cut at this length, ``share_within`` the share of documents
     that fit uncut. A row stands for every length up to the next one too.
     """
-    sizes = counted.groupBy("encoded_length").agg(F.count("*").alias("n_docs"))
+    # stored, as rows and block totals both come from it: the texts are encoded once; a row a length
+    sizes = stored(counted.groupBy("encoded_length").agg(F.count("*").alias("n_docs")), "length-histogram")
     sizes = sizes.withColumns({"n_tokens": F.col("encoded_length") * F.col("n_docs"), "__block": F.floor(F.col("encoded_length") / BLOCK)})
     blocks = sizes.groupBy("__block").agg(F.sum("n_docs").alias("__d"), F.sum("n_tokens").alias("__t"))
     blocks = blocks.withColumn("__down", -F.col("__block"))
