@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import duckdb
@@ -97,55 +98,94 @@ def test_components(spark):
     assert all(found[i] == 0 for i in range(1, 41)) and found[102] == found[101] == 100
 
 
+LETTER = "[a-z\u00c0-\u0dff\u10a0-\u177f\u1800-\u1fff]"
+
+
+def plain_units(text):
+    return re.findall(rf"{LETTER}{{1,24}}+(?!{LETTER})[!-`{{-~]?|\S", (text or "").lower(), re.ASCII)
+
+
 def plain_selection(text):
-    """Winnowing by its definition, with Spark's hash of words taken from xxhash."""
+    """Winnowing by its definition, (position, hash), with Spark's hash of units taken from xxhash."""
     mask = 2**64 - 1
-    words = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in __import__("re").split(r"[\x20\x09-\x0D]+", (text or "").lower()) if w]
-    if not words:
+    units = [xxhash.xxh64_intdigest(u.encode(), seed=42) for u in plain_units(text)]
+    if not units:
         return []
     turn = lambda x, by: (x << by % 64 | x >> (64 - by % 64)) & mask if by % 64 else x
-    full = words + [0] * max(0, 5 - len(words))
+    full = units + [0] * (4 if len(units) < 5 else 0)
     grams = []
-    for i in range(len(full) - 4):
+    for i in range(max(1, len(units) - 4)):
         h = 0
         for k in range(5):
             h ^= turn(full[i + k], 13 * (4 - k))
-        grams.append(h >> 28)
+        grams.append(h >> 3)
+    signed = lambda h: h - (1 << 61) if h >> 60 else h
     chosen = []
     for j in range(max(1, len(grams) - 7)):
         window = grams[j : j + 8]
-        least = min(window)
+        least = min(window, key=signed)
         at = j + max(k for k, h in enumerate(window) if h == least)
         if (at, grams[at]) not in chosen[-1:]:
             chosen.append((at, grams[at]))
     return chosen
 
 
-def test_winnowing_equals_its_definition(docs, small, nothing):
-    for df, rows in ((docs, [(i, t) for i, t, _ in TEXTS if i != 5]), (small, [(r.doc_id, r.text) for r in small.collect()])):
+def test_units():
+    assert plain_units("Don't go, 東京x2 ") == ["don'", "t", "go,", "東", "京", "x2"]
+    assert plain_units("a" * 30) == ["a"] * 6 + ["a" * 24]
+
+
+def test_winnowing_equals_its_definition(docs, small, nothing, spark):
+    odd = [(1, "東京都は日本の首都であり、世界最大の都市圏を形成している。" * 9), (2, "function(a,b){return a+b;}" * 20), (3, "q" * 500), (4, "no"), (5, "a a a a a a a a a a a a a a a a a a a a"), (6, "x" * 24 + "9 " + "Y" * 25)]
+    for df, rows in ((docs, [(i, t) for i, t, _ in TEXTS]), (small, [(r.doc_id, r.text) for r in small.collect()]), (spark.createDataFrame(odd, "doc_id long, text string"), odd)):
         got = {r.doc_id: [(s.position, s.hash) for s in r.selected] for r in winnowing.fingerprints(df).collect()}
         assert all(got[i] == plain_selection(t) for i, t in rows)
     assert winnowing.fingerprints(nothing).count() == 0 and winnowing.compared(nothing).count() == 0
 
 
-def test_edited_texts_and_likeness(docs, monkeypatch):
-    monkeypatch.setattr(winnowing, "RANGE_ROWS", 3)  # several ranges
-    rows = sorted(((i, t or "") for i, t, _ in TEXTS))
+def plain_comparison(rows):
+    """By doc_id, its text's hash and text: what the query gives for each."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    rows = sorted(((i, signed(xxhash.xxh64_intdigest(t.encode(), seed=42)), t) for i, t in rows))
+    shown = lambda f: ",".join(f"{at}:{h:X}" for at, h in f)
+    like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
     want = Counter()
-    for k, (i, t) in enumerate(rows):
-        following, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+    for k, (i, _, t) in enumerate(rows):
+        following, half = rows[(k + 1) % len(rows)][2], len(t) // 2
         edited = t[: len(t) - half] + following[:half]
-        a, b, c = ({h for _, h in plain_selection(x)} for x in (t, edited, following))
-        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(a, b), 9), round(like(a, c), 9)] += 1
-    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in winnowing.compared(docs).collect()) == want
+        mine, other, after = (plain_selection(x) for x in (t, edited, following))
+        a, b, c = ({h for _, h in f} for f in (mine, other, after))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(mine), shown(other), round(like(a, b), 9), round(like(a, c), 9)] += 1
+    return want
+
+
+@pytest.mark.parametrize("rows_a_range", [3, 1000])
+def test_edited_texts_and_likeness(docs, monkeypatch, rows_a_range):
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", rows_a_range)
+    found = winnowing.shown_comparison(docs).collect()
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in found)
+    assert got == plain_comparison([(i, t or "") for i, t, _ in TEXTS])
+
+
+def test_winnowing_query(spark):
+    folder = "/root/testdata/sf0.001"
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in winnowing.query(spark, folder).collect())
+    assert got == plain_comparison([(r.doc_id, r.text or "") for r in spark.read.parquet(f"{folder}/documents.parquet").collect()])
+
+
+def test_equal_and_missing_ids_spread_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", 10)
+    df = spark.createDataFrame([(7 if k % 2 else None, f"text number {k}") for k in range(200)], "doc_id long, text string")
+    per = [r["count"] for r in winnowing.with_next(df).groupBy("range").count().collect()]
+    assert len(per) > 10 and max(per) < 60 and winnowing.compared(df).count() == 200
 
 
-def test_a_shared_passage_is_found(spark):
+@pytest.mark.parametrize("unit", ["word", "ideograph"])
+def test_a_shared_passage_is_found(spark, unit):
     draw = random.Random(1)
-    passage = " ".join(f"p{draw.randrange(10**6)}" for _ in range(winnowing.GRAM + winnowing.WINDOW - 1))
-    texts = [" ".join(f"{c}{draw.randrange(10**6)}" for _ in range(40)) for c in "ab"]
-    df = spark.createDataFrame([(k, f"{t} {passage} {t[:50]}") for k, t in enumerate(texts)], "doc_id long, text string")
+    new = (lambda: f" {''.join(draw.choices('abcdefghij', k=9))}") if unit == "word" else (lambda: chr(draw.randrange(0x4E00, 0x9FA0)))
+    passage = "".join(new() for _ in range(winnowing.GRAM + winnowing.WINDOW - 1))
+    df = spark.createDataFrame([(k, "".join(new() for _ in range(40 + k)) + passage + "".join(new() for _ in range(9))) for k in range(2)], "doc_id long, text string")
     a, b = ({s.hash for s in r.selected} for r in winnowing.fingerprints(df).collect())
     assert a & b
 

@@ -1,17 +1,21 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-Words (lower case, cut at ASCII white space) are hashed; a gram of ``GRAM`` = 5 words has the cyclic polynomial hash of
-its words' hashes: the hash rolls on by one rotation and two exclusive-ors, and its value at a position is the
-exclusive-or of five rotated word hashes, which is how it is computed. Of every ``WINDOW`` = 8 grams in a row the
-smallest hash is chosen, the rightmost of equals, and kept with its position. So any 12 words that two texts share give
-a common selection (WINDOW + GRAM - 1), and no match of fewer than 5 words is reported. Grams of words rather than
-characters keep the arrays a sixth as long; at 2 selections in 9 words a fingerprint is far smaller than its text.
-
-Hashes of 36 bits and positions are packed in one long, so that a window's choice is a plain minimum.
-
-Defined cases: null text is empty; a text of fewer than 5 words is one gram, of none has an empty selection (alike, 1.0,
-to another empty one only); equal doc_ids follow by text; the last document's next is the first, a sole document's is
-itself; an empty table gives no rows; other columns are not read.
+A text (in lower case) is cut into units that depend on what is around them alone: a run of up to 24 letters with the
+plain mark or digit after it, and each character for itself in longer runs (up to their last 24 letters), in scripts that
+do without spaces, and among marks and digits. So texts without white space have as many grams as others. A gram of ``GRAM`` = 5 units has the cyclic
+polynomial hash of its units' hashes, the hash that rolls on by one rotation and two exclusive-ors. For columns of
+arrays it is made by doubling: the hash of two units from two of one, of four from two of two, of five from four and
+one. Of every ``WINDOW`` = 8 grams in a row the smallest hash is chosen, the rightmost of equals, by doubling too, and
+kept with its position. So any 12 units that two texts share give a common selection (WINDOW + GRAM - 1), and no match
+of fewer than 5 units is reported. Hashes have 61 bits: the lowest three of 64 make room for the place in the window.
+
+The next document of each comes by a window over ranges of doc_ids, each with the first row of the range after it.
+There are at most ``RANGES`` ranges, whose bounds, two numbers each, are all that the driver gets.
+
+Defined cases: null text is empty; a text of fewer than 5 units is one gram, of none has an empty selection (alike, 1.0,
+to another empty one only); equal doc_ids follow by the hash of their text, then by text, rows without id come first;
+the last document's next is the first, a sole document's is itself; repeated rows are rows each; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,91 +27,97 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import SPACE, texts
+from .shared import texts
 
 GRAM, WINDOW, TURN = 5, 8, 13
-POSITION_BITS = 27
+#: Letters of scripts with spaces (Latin to Sinhala, Georgian to Philippine, Mongolian to Greek), in lower case.
+LETTER = r"[a-z\x{C0}-\x{DFF}\x{10A0}-\x{177F}\x{1800}-\x{1FFF}]"
+UNIT = rf"{LETTER}{{1,24}}+(?!{LETTER})[!-`{{-~]?|\S"
 #: Rows of a range of doc_ids, within which the next document is found, and ranges at most.
-RANGE_ROWS, RANGES = 2000, 1_000_000
+RANGE_ROWS, RANGES = 1000, 65_536
 
 
 def _turned(x: Column, by: int) -> Column:
-    by %= 64
-    return F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by)) if by else x
+    return F.shiftleft(x, by % 64).bitwiseOR(F.shiftrightunsigned(x, 64 - by % 64))
+
+
+def _after(c: str, n: int) -> Column:
+    """The array without its first ``n`` elements."""
+    return F.slice(F.col(c), F.lit(n + 1), F.greatest(F.size(c) - n, F.lit(0)))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the winnowed selection of a text column: an array of longs, hash and position packed, in order of position.
+    """Adds the winnowed selection of a text column: structs (position in units from 0, hash), in order of position.
 
     Each step is a column of its own and is read twice in the next, so that no step is evaluated anew for each element.
     """
-    x, v = f"__x_{out}", f"__v_{out}"
-    words = F.filter(F.split(F.lower(F.col(text)), SPACE), lambda w: w != "")
-    df = df.withColumn(x, F.transform(words, lambda w: F.xxhash64(w)))
-    grams = F.greatest(F.size(x) - (GRAM - 1), F.least(F.size(x), F.lit(1)))
-
-    def packed(_: Column, i: Column) -> Column:
-        # a text of fewer words has zeros in the place of the missing ones
-        terms = [_turned(F.coalesce(F.get(F.col(x), i + k), F.lit(0).cast("long")), TURN * (GRAM - 1 - k)) for k in range(GRAM)]
-        rolled = terms[0]
-        for t in terms[1:]:
-            rolled = rolled.bitwiseXOR(t)
-        place = F.lit((1 << POSITION_BITS) - 1).cast("long") - i
-        return F.shiftleft(F.shiftrightunsigned(rolled, 28), POSITION_BITS).bitwiseOR(place)
-
-    df = df.withColumn(v, F.transform(F.slice(x, F.lit(1), grams), packed))
-    windows = F.greatest(F.size(v) - (WINDOW - 1), F.least(F.size(v), F.lit(1)))
-    chosen = F.transform(F.slice(v, F.lit(1), windows), lambda _, i: F.array_min(F.slice(v, i + 1, F.lit(WINDOW))))
-    return df.withColumn(out, F.array_distinct(chosen)).drop(x, v)
-
-
-def selection(packed: Column) -> Column:
-    """Array of structs (position in words from 0, hash) of a packed selection."""
-    mask = (1 << POSITION_BITS) - 1
-    return F.transform(packed, lambda s: F.struct((F.lit(mask) - s.bitwiseAND(F.lit(mask))).alias("position"), F.shiftrightunsigned(s, POSITION_BITS).alias("hash")))
+    steps = [f"__{k}_{out}" for k in range(8)]
+    one, two, four, gram, w2, w4, w8, n = steps
+    hashes = F.transform(F.regexp_extract_all(F.lower(F.col(text)), F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u))
+    # a text of fewer units has zeros in the place of the missing ones
+    padded = lambda x: F.when(F.size(x).between(1, GRAM - 1), F.concat(x, F.array_repeat(F.lit(0).cast("long"), GRAM - 1))).otherwise(x)
+    df = df.withColumn(n, hashes).withColumns({one: padded(F.col(n)), n: F.size(n)})
+    rolled = lambda by: lambda a, b: _turned(a, by).bitwiseXOR(b)
+    df = df.withColumn(two, F.zip_with(F.col(one), _after(one, 1), rolled(TURN)))
+    df = df.withColumn(four, F.zip_with(F.col(two), _after(two, 2), rolled(2 * TURN)))
+    grams = F.greatest(F.col(n) - (GRAM - 1), F.least(F.col(n), F.lit(1)))
+    # the lowest bits: 7 less the place in the window, so that the rightmost of equals is the smallest
+    place = lambda a, b: _turned(a, TURN).bitwiseXOR(b).bitwiseOR(F.lit(WINDOW - 1).cast("long"))
+    df = df.withColumn(gram, F.slice(F.zip_with(F.col(four), _after(one, 4), place), F.lit(1), grams))
+    lower = lambda by: lambda a, b: F.least(a, b - by)
+    for wide, narrow, by in ((w2, gram, 1), (w4, w2, 2), (w8, w4, 4)):
+        df = df.withColumn(wide, F.zip_with(F.col(narrow), _after(narrow, by), lower(by)))
+    windows = F.greatest(F.size(w8) - (WINDOW - 1), F.least(F.size(w8), F.lit(1)))
+    at = lambda v, j: j + (F.lit(WINDOW - 1) - v.bitwiseAND(F.lit(WINDOW - 1).cast("long"))).cast("int")
+    # a window that chooses what the one before it chose has it one place further left
+    chosen = F.transform(F.slice(w8, F.lit(1), windows), lambda v, j: F.when((j > 0) & (v == F.get(F.col(w8), j - 1) + 1), F.lit(None)).otherwise(F.struct(at(v, j).alias("position"), F.shiftrightunsigned(v, 3).alias("hash"))))
+    return df.withColumn(out, F.array_compact(chosen)).drop(*steps)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard likeness of the hashes of two packed selections; two empty ones are alike."""
-    left, right = (F.transform(c, lambda s: F.shiftrightunsigned(s, POSITION_BITS)) for c in (a, b))
+    """Jaccard likeness of the hashes of two selections; two empty ones are alike."""
+    left, right = a.getField("hash"), b.getField("hash")
     every = F.size(F.array_union(left, right))
     return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(left, right)) / every)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and the selection of every text, as positions and hashes."""
-    return with_fingerprint(texts(docs), "text", "__f").select("doc_id", selection(F.col("__f")).alias("selected"))
+    return with_fingerprint(texts(docs), "text", "selected").select("doc_id", "selected")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Rows of doc_id and text, in ranges of doc_id, ready for ``lead``: adds range, guest.
+    """Rows of doc_id, text and its hash, in ranges, ready for ``lead``: adds range, guest.
 
-    The first row of each range is also a guest at the end of the range before. Range bounds are one number for
-    each range, found by Spark's own range partitioning of the ids alone.
+    The first row of each range is also a guest at the end of the range before. Bounds are found by Spark's own range
+    partitioning of ids and hashes; equal ids, or none, spread over ranges by hash.
     """
-    rows = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63))))
+    rows = texts(docs).withColumns({"doc_id": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
     n = max(1, min(RANGES, math.ceil(rows.count() / RANGE_ROWS)))
-    ids = rows.select("doc_id").repartitionByRange(n, "doc_id")
-    lows = sorted(r.low for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("low")).collect())
+    ids = rows.select("doc_id", "h").repartitionByRange(n, "doc_id", "h")
+    lows = sorted(tuple(r.low) for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "h")).alias("low")).collect())
     width = max(1, math.isqrt(len(lows)))
-    blocks = [lows[i : i + width] for i in range(0, len(lows), width)] or [[0]]
+    blocks = [lows[i : i + width] for i in range(0, len(lows), width)] or [[(0, 0)]]
+    me = F.struct("doc_id", "h")
 
     def upto(array: Column) -> Column:
-        return F.greatest(F.size(F.filter(array, lambda low: low <= F.col("doc_id"))) - 1, F.lit(0))
+        return F.greatest(F.size(F.filter(array, lambda low: low <= me)) - 1, F.lit(0))
 
-    literal = F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>")
-    tops = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>")
+    bound = "struct<doc_id:bigint,h:bigint>"
+    shown = lambda b: dict(zip(("doc_id", "h"), b, strict=True))
+    literal = F.from_json(F.lit(json.dumps([[shown(b) for b in block] for block in blocks])), f"array<array<{bound}>>")
+    tops = F.from_json(F.lit(json.dumps([shown(b[0]) for b in blocks])), f"array<{bound}>")
     placed = rows.withColumn("__block", upto(tops)).withColumn("__lows", F.get(literal, F.col("__block")))
     placed = placed.withColumn("__at", upto(F.col("__lows"))).withColumn("range", F.col("__block") * width + F.col("__at"))
-    first = F.col("doc_id") == F.get(F.col("__lows"), F.col("__at"))
+    first = me == F.get(F.col("__lows"), F.col("__at"))
     before = F.pmod(F.col("range") - 1, F.lit(max(1, len(lows))))
     own, guest = (F.struct(r.cast("int").alias("range"), F.lit(g).alias("guest")) for r, g in ((F.col("range"), False), (before, True)))
-    return placed.select("doc_id", "text", F.inline(F.when(first, F.array(own, guest)).otherwise(F.array(own))))
+    return placed.select("doc_id", "h", "text", F.inline(F.when(first, F.array(own, guest)).otherwise(F.array(own))))
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Per document: its selection, that of its edited text, and how alike they and the next document's are."""
-    order = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
+    order = Window.partitionBy("range").orderBy("guest", "doc_id", "h", "text")
     rows = with_fingerprint(with_next(docs), "text", "fp")
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)}).filter("not guest")
     chars = F.length("text")
@@ -120,10 +130,18 @@ def compared(docs: DataFrame) -> DataFrame:
     return rows.select(doc_id, "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
 
 
-def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = compared(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
-    return found.select(
-        "doc_id", "n_chars", "edited_sha256", digest("fp").alias("fingerprint"), digest("edited_fp").alias("edited_fingerprint"),
+def shown(selected: Column) -> Column:
+    """A selection as text: position:hash (hexadecimal), with commas between."""
+    return F.array_join(F.transform(selected, lambda s: F.concat_ws(":", s.position, F.hex(s.hash))), ",")
+
+
+def shown_comparison(docs: DataFrame) -> DataFrame:
+    """``compared`` with selections as text."""
+    return compared(docs).select(
+        "doc_id", "n_chars", "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited_fp")).alias("edited_fingerprint"),
         "near_edited", "near_next", F.size("fp").cast("long").alias("n_selected"),
     )
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown_comparison(spark.read.parquet(f"{sf_dir}/documents.parquet"))
