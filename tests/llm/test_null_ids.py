@@ -1,8 +1,12 @@
 """Rows without doc_id, text, language or source go through every operator."""
 
+import hashlib
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_dedup import plain_components
 from tickforge.llm import op01_token_files, op02_quality, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
 
 
@@ -26,8 +30,9 @@ def test_every_operator_keeps_the_rows(holes, spark):
 
 
 def test_keep_one_without_ids(holes):
-    kept = [r.doc_id for r in op05_simhash.keep_one(holes).collect()]
-    assert sorted(kept, key=repr) == [1, 2, None]
+    """Rows without id that are nobody's near-duplicates all stay."""
+    kept = [(r.doc_id, r.text) for r in op05_simhash.keep_one(holes).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, None), (2, "some other text with words"), (None, "some text here"), (None, "far away and different words altogether")], key=repr)
 
 
 def test_one_row_of_each_component_stays(spark):
@@ -37,3 +42,16 @@ def test_one_row_of_each_component_stays(spark):
     kept = op05_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, ""), (3, near), (5, "alone under this number"), (None, "far away and different words altogether"), (None, "some text here")]
     assert sorted(map(tuple, kept), key=repr) == sorted(want, key=repr)
+
+
+def test_kept_rows_by_brute_force(spark):
+    """Random ids (few, so that they clash, or none) and texts that share most of their words."""
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices("abcdefghij", k=draw.randrange(1, 9))) for _ in range(30)]
+    rows = [(draw.choice([None, *range(12)]), draw.choice(texts), k) for k in range(160)]
+    fps = [op05_simhash.fingerprint(t) & (2**64 - 1) for _, t, _ in rows]
+    roots = plain_components(fps)
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(f"{'none' if r[0] is None else r[0]}:{r[1]}".encode()).digest(), r[2])
+    want = [min((r for r, x in zip(rows, roots, strict=True) if x == root), key=key) for root in set(roots)]
+    got = op05_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(5)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and len(want) > 10

@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from .shared import stored, texts
 
@@ -213,7 +214,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """
 
     def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1_000_003)))).first())
+        # the sum of whole 64-bit hashes: sets that differ agree in it once in 2^64
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
     larger = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
     now = stored(larger.distinct(), "edges")
@@ -249,14 +251,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component stays, whatever doc_ids its rows have: that of the smallest doc_id (rows without one
-    last), then of the smallest digest of id and text; of repeated rows of it, one.
+    last), then of the smallest digest of id and text; of rows that repeat both, the one whose columns come first in order.
+
+    The choice is made on ids, fingerprints and digests; whole rows are shuffled once, by digest.
     """
     named = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), F.coalesce("text", F.lit("")))
     rows = docs.withColumn("__key", F.unhex(F.sha2(named, 256)))
     fps = stored(fingerprints(rows, "__key"), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
     first = rooted(classes).groupBy("root").agg(F.min("first").alias("first")).select("first.__key")
-    return rows.join(stored(first, "kept-rows"), "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text") and _orderable(docs.schema[c].dataType)]
+    row = F.struct(*docs.columns)
+    # repeated rows meet in their tasks before the shuffle, however many there are
+    one = rows.groupBy("__key").agg((F.min_by(row, F.struct(*others)) if others else F.first(row)).alias("row"))
+    return one.join(stored(first, "kept-rows"), "__key", "left_semi").select("row.*")
+
+
+def _orderable(kind: DataType) -> bool:
+    return not any(t in kind.simpleString() for t in ("map<", "variant", "interval"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
