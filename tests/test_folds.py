@@ -99,8 +99,9 @@ def plain_quoter(prices, live=True, most=10.0, base=0.5):
 
     import numpy as np
 
+    # reset observes the first price; a replay has consumed it by then, a live quoter steps on it too
     seen, cash, inv, rest, anchor, out = [prices[0]], 1e6, 0.0, None, prices[0], []
-    for p in prices:
+    for p in prices if live else prices[1:]:
         if len(seen) == 1:
             sigma = 0.1
         else:

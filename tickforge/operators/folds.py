@@ -7,13 +7,17 @@ is in, across batches. Memory is one batch and that state, whatever a symbol's l
 from __future__ import annotations
 
 import math
-from collections import deque, namedtuple
+from bisect import bisect_right
+from collections import deque
 from collections.abc import Callable, Iterator
 from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tickforge.functions.market import HIGHEST_HALF, LOWEST_HALF
 
 from .series import quoting_sigma
 
@@ -26,28 +30,32 @@ ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double":
 PARAMETERS = dict(gamma=0.1, spread=1.0, kappa=1.5, start_cash=1_000_000.0, base_size=0.5, max_inventory=10.0, maker_fee=-0.0001, penalty=0.1, live=True)
 
 
-def fold(df: DataFrame, state: Callable[[], object], step: Callable, schema: str, by: tuple[str, ...] = ("symbol",), order: str = "seq", dealt: bool = False) -> DataFrame:
-    """Runs ``step(state, row)`` over each key's rows in order; it returns the rows to give out.
+def fold(df: DataFrame, state: Callable[[], object], run: Callable, schema: str, by: str = "symbol", order: str = "seq", dealt: bool = False) -> DataFrame:
+    """Runs ``run(state, columns)`` over each key's rows in order, as many at a time as a batch holds; it returns columns.
 
-    ``dealt``: the rows come from a window over the same key and order, so they need no shuffle of their own.
+    ``columns`` are lists, in the order of df's columns, of one key's rows. ``dealt``: the rows come from a window over
+    the same key, so they need no shuffle of their own.
     """
     names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
     kinds = [ARROW[t] for t in types]
-    record = list(df.columns)
-    places = [record.index(c) for c in by]
+    place = df.columns.index(by)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make, key, now = namedtuple("Tick", record)._make, None, None
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, now = None, None
         for batch in batches:
-            out: list[tuple] = []
-            for values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (of := [values[k] for k in places]) != key:
-                    key, now = of, state()
-                out += step(now, make(values))
-            columns = zip(*out, strict=True) if out else [()] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+            columns = [c.to_pylist() for c in batch.columns]
+            keys, at = columns[place], 0
+            while at < len(keys):
+                end = bisect_right(keys, keys[at], at) if keys[-1] != keys[at] else len(keys)
+                if now is None or keys[at] != key:
+                    key, now = keys[at], state()
+                out = run(now, columns if end - at == len(keys) else [c[at:end] for c in columns])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=list(names))
+                at = end
 
-    return (df if dealt else df.repartition(*by)).sortWithinPartitions(*by, order).mapInArrow(run, schema)
+    # rows without key are no series; sorted keys let a batch be cut by search
+    rows = df.filter(F.col(by).isNotNull())
+    return (rows if dealt else rows.repartition(by)).sortWithinPartitions(by, order).mapInArrow(read, schema)
 
 
 class Quoter:
@@ -62,7 +70,7 @@ class Quoter:
     def half_spread(self, mid: float, sigma: float, gamma: float, spread: float) -> float:
         gamma = gamma * (60000.0 / max(mid, 1.0))
         whole = (gamma * sigma * sigma + (2.0 / gamma) * math.log(1.0 + gamma / self.kappa)) * spread
-        return min(max(whole / 2.0, mid * 0.00003), mid * 0.0001)
+        return min(max(whole / 2.0, mid * LOWEST_HALF), mid * HIGHEST_HALF)
 
     def _cost(self, sign: int, size: float, paid: float) -> float | None:
         """Keeps the average cost of the inventory; what a fill earns on the part of it that it closes."""
@@ -110,20 +118,51 @@ class Quoter:
         return (quoting, bid, ask, side, size if side else 0.0, paid, realized, self.cash, self.inventory, self.lots, worth, gained, reward, self.ended)
 
 
-def simulate(ticks: DataFrame, quoting: F.Column | None = None, **parameters) -> DataFrame:
+def simulate(ticks: DataFrame, quoting: F.Column | None = None, scale: float = 100.0, **parameters) -> DataFrame:
     """The quoter over every symbol's ticks (see STEP). Steps after a loss of a fifth of the cash are not given.
 
-    ``quoting``: a condition on the ticks under which quotes are out.
+    ``quoting``: a condition on the ticks under which quotes are out. With ``live=False`` a symbol's first tick is
+    consumed by the start of the replay and gives no step.
     """
-    rows = quoting_sigma(ticks).withColumn("is_quoting", F.lit(True) if quoting is None else quoting)
+    rows = quoting_sigma(ticks, parameters.get("live", True), scale, by_symbol=True).withColumn("is_quoting", F.lit(True) if quoting is None else quoting)
     rows = rows.select("symbol", "seq", "ts_ms", "price", "sigma", "is_quoting")
 
-    def step(q: Quoter, row) -> list[tuple]:
-        if q.ended:
-            return []
-        return [(row.symbol, row.seq, row.ts_ms, row.price, row.sigma, *q.step(row.price, row.sigma, row.is_quoting))]
+    def run(q: Quoter, columns: list[list]) -> list:
+        out = []
+        for symbol, seq, ts_ms, price, sigma, out_there in zip(*columns, strict=True):
+            if q.ended:
+                break
+            out.append((symbol, seq, ts_ms, price, sigma, *q.step(price, sigma, out_there)))
+        return list(zip(*out, strict=True)) if out else [()] * len(STEP.split(", "))
+
+    return fold(rows, lambda: Quoter(**parameters), run, STEP, dealt=True)
+
 
-    return fold(rows, lambda: Quoter(**parameters), step, STEP, dealt=True)
+def sweep(ticks: DataFrame, actions: list[tuple[int, float, float]], scale: float = 100.0, **parameters) -> DataFrame:
+    """The quoter under several actions (number, gamma, spread) side by side, in one fold by symbol.
+
+    For each symbol and action the last net worth, the fills and the steps, the last of them at a tripped breaker.
+    """
+    rows = quoting_sigma(ticks, parameters.get("live", True), scale, by_symbol=True).select("symbol", "seq", "price", "sigma")
+    rows = rows.withColumn("last", F.lead("seq").over(Window.partitionBy("symbol").orderBy("seq")).isNull())
+    def start() -> list[list]:
+        return [[n, Quoter(gamma=g, spread=s, **parameters), 0, 0] for n, g, s in actions]
+
+    def run(quoters: list[list], columns: list[list]) -> list:
+        symbols, _, prices, sigmas, last = columns
+        for each in quoters:
+            q = each[1]
+            for price, sigma in zip(prices, sigmas, strict=True):
+                if q.ended:
+                    break
+                each[2] += q.step(price, sigma)[3] is not None
+                each[3] += 1
+        if not last[-1]:
+            return [()] * 6
+        out = [(symbols[0], n, q.worth, fills, steps, q.ended) for n, q, fills, steps in quoters]
+        return list(zip(*out, strict=True))
+
+    return fold(rows, start, run, "symbol string, action int, net_worth double, fills long, steps long, terminated boolean", dealt=True)
 
 
 class Book:
@@ -133,23 +172,23 @@ class Book:
         self.prices, self.ids, self.max_resting, self.resting = prices, ids, max_resting, 0
         self.levels: tuple[dict, dict] = ({}, {})  # by side: price to queue
         self.volumes: tuple[dict, dict] = ({}, {})
-        self.heaps: tuple[list, list] = ([], [])
+        self.heaps: tuple[list, list] = ([], [])  # bids by their negative price
         self.live: dict[int, tuple[int, int, list]] = {}
 
     def best(self, side: int) -> int:
-        heap, sign = self.heaps[side], -1 if side == 0 else 1
-        while heap and not self.volumes[side].get(sign * heap[0]):
-            self.levels[side].pop(sign * heap[0], None)
+        heap, volumes = self.heaps[side], self.volumes[side]
+        while heap:
+            price = heap[0] if side else -heap[0]
+            if volumes.get(price):
+                return price
+            self.levels[side].pop(price, None)
             heappop(heap)
-        return sign * heap[0] if heap else -1
-
-    def volume(self, side: int) -> int:
-        return self.volumes[side].get(self.best(side), 0)
+        return -1
 
     def add(self, order_id: int, price: int, qty: int, side: int) -> tuple[list[tuple[int, int, int]], str]:
         """Fills (resting id, price, quantity), and what became of the rest."""
         fills, other = [], 1 - side
-        while qty > 0 and (best := self.best(other)) != -1 and (best <= price if side == 0 else best >= price):
+        while qty > 0 and (best := self.best(other)) != -1 and (best >= price if side else best <= price):
             queue = self.levels[other][best]
             while queue and qty > 0:
                 resting = queue[0]
@@ -173,17 +212,26 @@ class Book:
             self.live[order_id] = (side, price, order)
         if price >= self.prices:
             return fills, "OFF_BOOK"
-        if not self.volumes[side].get(price):
-            heappush(self.heaps[side], -price if side == 0 else price)
-        self.levels[side].setdefault(price, deque()).append(order)
-        self.volumes[side][price] = self.volumes[side].get(price, 0) + qty
+        volumes, levels = self.volumes[side], self.levels[side]
+        held = volumes.get(price)
+        if held:
+            levels[price].append(order)
+            volumes[price] = held + qty
+        else:
+            heappush(self.heaps[side], price if side else -price)
+            if price in levels:
+                levels[price].append(order)
+            else:
+                levels[price] = deque((order,))
+            volumes[price] = qty
         return fills, "RESTING"
 
     def cancel(self, order_id: int) -> int:
         """Quantity taken off the book; 0 if there is no such order on it."""
-        if order_id >= self.ids or order_id not in self.live:
+        found = self.live.get(order_id)
+        if found is None:
             return 0
-        side, price, order = self.live[order_id]
+        side, price, order = found
         if price >= self.prices:
             return 0
         del self.live[order_id]
@@ -192,56 +240,71 @@ class Book:
         self.volumes[side][price] -= qty
         return qty
 
-    def apply(self, row) -> tuple[list, str]:
-        if row.type == 1:
-            return self.add(row.order_id, row.price, row.qty, row.side)
-        if row.type in (2, 3):
-            gone = self.cancel(row.order_id)
-            return [], f"CANCELLED {gone}" if gone else "NOT_FOUND"
-        return [], "IGNORED"
+    def apply(self, kind: int, order_id: int, side: int, price: int, qty: int) -> tuple[list, str, int]:
+        """Fills, what became of the message, and the quantity cancelled."""
+        if kind == 1:
+            return *self.add(order_id, price, qty, side), 0
+        if kind in (2, 3):
+            gone = self.cancel(order_id)
+            return NONE, "CANCELLED" if gone else "NOT_FOUND", gone
+        return NONE, "IGNORED", 0
 
 
+NONE: list = []
 ORDER_COLUMNS = ("symbol", "seq", "timestamp", "type", "order_id", "side", "price", "qty")
 
 
-def book_l1(messages: DataFrame) -> DataFrame:
-    """Best prices and volumes, and what the message did, after every message."""
+def book_l1(messages: DataFrame, dealt: bool = False) -> DataFrame:
+    """Best prices and volumes, and what the message did, after every message.
+
+    ``dealt``: the messages come from a window by symbol, as ``sources.tables.messages`` gives them.
+    """
 
-    def step(book: Book, row) -> list[tuple]:
-        fills, status = book.apply(row)
-        bid, ask = book.best(0), book.best(1)
-        word, _, gone = status.partition(" ")
-        return [(row.symbol, row.seq, row.timestamp, word, sum(f[2] for f in fills), int(gone or 0), bid, ask, book.volume(0) if bid >= 0 else 0, book.volume(1) if ask >= 0 else 0)]
+    def run(book: Book, columns: list[list]) -> list:
+        symbols, seqs, times, *orders = columns
+        bids, asks, best, apply = *book.volumes, book.best, book.apply
+        out = []
+        for order in zip(*orders, strict=True):
+            fills, status, gone = apply(*order)
+            bid, ask = best(0), best(1)
+            out.append((status, sum([f[2] for f in fills]) if fills else 0, gone, bid, ask, bids.get(bid, 0), asks.get(ask, 0)))
+        return [symbols, seqs, times, *zip(*out, strict=True)]
 
     schema = "symbol string, seq long, timestamp long, status string, matched long, cancelled long, best_bid long, best_ask long, bid_volume long, ask_volume long"
-    return fold(messages.select(*ORDER_COLUMNS), Book, step, schema)
+    return fold(messages.select(*ORDER_COLUMNS), Book, run, schema, dealt=dealt)
 
 
-def fills(messages: DataFrame) -> DataFrame:
+def fills(messages: DataFrame, dealt: bool = False) -> DataFrame:
     """Every match: the taker's message, the resting order, price and quantity."""
 
-    def step(book: Book, row) -> list[tuple]:
-        done, _ = book.apply(row)
-        return [(row.symbol, row.seq, k, row.order_id, resting, row.side, price, n) for k, (resting, price, n) in enumerate(done)]
+    def run(book: Book, columns: list[list]) -> list:
+        out = []
+        for symbol, seq, _, *order in zip(*columns, strict=True):
+            done, _, _ = book.apply(*order)
+            if done:
+                out += [(symbol, seq, k, order[1], resting, order[2], price, n) for k, (resting, price, n) in enumerate(done)]
+        return list(zip(*out, strict=True)) if out else [()] * 8
 
     schema = "symbol string, seq long, nth long, taker_id long, resting_id long, taker_side long, price long, qty long"
-    return fold(messages.select(*ORDER_COLUMNS), Book, step, schema)
+    return fold(messages.select(*ORDER_COLUMNS), Book, run, schema, dealt=dealt)
 
 
-def resting_orders(messages: DataFrame) -> DataFrame:
+def resting_orders(messages: DataFrame, dealt: bool = False) -> DataFrame:
     """Orders on the book at the end, for depth by level.
 
     A row for each message that rested, with what of it was matched or cancelled later, all from the fold's events.
     """
 
-    def step(book: Book, row) -> list[tuple]:
-        held = book.live.get(row.order_id) if row.type in (2, 3) else None
-        done, status = book.apply(row)
-        out = [(row.symbol, row.seq, price, 1 - row.side, -n) for _, price, n in done]
-        if status == "RESTING":
-            out.append((row.symbol, row.seq, row.price, row.side, row.qty - sum(f[2] for f in done)))
-        elif status.startswith("CANCELLED"):
-            out.append((row.symbol, row.seq, held[1], held[0], -int(status.split()[1])))
-        return out
-
-    return fold(messages.select(*ORDER_COLUMNS), Book, step, "symbol string, seq long, price long, side long, change long")
+    def run(book: Book, columns: list[list]) -> list:
+        out = []
+        for symbol, seq, _, kind, order_id, side, price, qty in zip(*columns, strict=True):
+            held = book.live.get(order_id) if kind in (2, 3) else None
+            done, status, gone = book.apply(kind, order_id, side, price, qty)
+            out += [(symbol, seq, at, 1 - side, -n) for _, at, n in done]
+            if status == "RESTING":
+                out.append((symbol, seq, price, side, qty - sum(f[2] for f in done)))
+            elif gone:
+                out.append((symbol, seq, held[1], held[0], -gone))
+        return list(zip(*out, strict=True)) if out else [()] * 5
+
+    return fold(messages.select(*ORDER_COLUMNS), Book, run, "symbol string, seq long, price long, side long, change long", dealt=dealt)

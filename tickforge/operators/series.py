@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import chunks
+
 RING, LEAST_SIGMA = 100, 0.1
+#: Time, in its own units, that a chunk of an as-of join spans: a day of milliseconds.
+ASOF_WIDTH = 86_400_000
 
 
 def candles(ticks: DataFrame, seconds: int) -> DataFrame:
@@ -34,43 +38,85 @@ def last_by(df: DataFrame, keys: list[Column], order: str) -> DataFrame:
     return kept.select("row.*")
 
 
-def _sigma(n: Column, s1: Column, s2: Column) -> Column:
-    """Population deviation from exact integer sums of cents, in price units."""
-    return F.sqrt((n * s2 - s1 * s1) / (n * n).cast("double")) / 100.0
+WIDE = "decimal(38,0)"
+
+
+def _sigma(n: Column, s1: Column, s2: Column, scale: float) -> Column:
+    """Population deviation from exact sums of whole price units, in prices; never under ``LEAST_SIGMA``."""
+    n, s1, s2 = n.cast("decimal(4,0)"), s1.cast("decimal(19,0)"), s2.cast("decimal(33,0)")
+    deviation = F.sqrt((n * s2 - s1 * s1).cast("double") / (n * n).cast("double")) / scale
+    return F.greatest(deviation, F.lit(LEAST_SIGMA))
+
+
+def _sums(df: DataFrame, order, last: int) -> DataFrame:
+    """Adds s1 and s2, the sums of the ``RING`` prices and their squares that end ``last`` rows ago, as differences of running sums."""
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    units = F.col("cents").cast("decimal(19,0)")
+    summed = df.withColumns({"__r1": F.sum(units.cast(WIDE)).over(w), "__r2": F.sum((units * units).cast(WIDE)).over(w)})
+    at = lambda c, n: F.coalesce(F.lag(c, n).over(order) if n else F.col(c), F.lit(0).cast(WIDE))
+    return summed.withColumns({s: at(r, last) - at(r, last + RING) for s, r in (("s1", "__r1"), ("s2", "__r2"))}).drop("__r1", "__r2")
 
 
-def rolling_volatility(ticks: DataFrame, zero_slot: bool = True) -> DataFrame:
-    """Deviation of the last 100 prices, never under 0.1.
+def rolling_volatility(ticks: DataFrame, zero_slot: bool = True, scale: float = 100.0, rows: int | None = None) -> DataFrame:
+    """Deviation of the last 100 prices, never under 0.1. ``scale``: units of ``cents`` in a price of one.
 
     With ``zero_slot``, until the ring has 100 prices one of its empty slots counts as a price of zero, as in the
     reference; without it, a warm-up uses the prices there are.
     """
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(1 - RING, 0)
-    n, s1, s2 = F.count("*").over(w), F.sum("cents").over(w), F.sum(F.col("cents") * F.col("cents")).over(w)
-    rows = ticks.select("symbol", "seq", n.alias("n"), s1.alias("s1"), s2.alias("s2"))
+    order = chunks.window("symbol", "seq")
+    dealt = chunks.with_guests(ticks.select("symbol", "seq", "cents"), "symbol", "seq", RING - 1, ["cents"], rows)
+    n = F.least(F.row_number().over(order), F.lit(RING)).cast("long")
+    seen = chunks.own(_sums(dealt.withColumn("n", n), order, 0))
     slots = F.col("n") + F.when((F.col("n") > 1) & (F.col("n") < RING), 1).otherwise(0) if zero_slot else F.col("n")
-    sigma = F.when(F.col("n") == 1, LEAST_SIGMA).otherwise(F.greatest(_sigma(slots, F.col("s1"), F.col("s2")), F.lit(LEAST_SIGMA)))
-    return rows.select("symbol", "seq", "n", sigma.alias("sigma"))
+    sigma = F.when(F.col("n") == 1, LEAST_SIGMA).otherwise(_sigma(slots, F.col("s1"), F.col("s2"), scale))
+    return seen.select("symbol", "seq", "n", sigma.alias("sigma"))
 
 
-def quoting_sigma(ticks: DataFrame) -> DataFrame:
-    """The deviation a live quoter knows at each tick: of earlier prices, the first of them observed twice."""
-    order = Window.partitionBy("symbol").orderBy("seq")
-    w = order.rowsBetween(-RING, -1)
+def quoting_sigma(ticks: DataFrame, live: bool = True, scale: float = 100.0, by_symbol: bool = False, rows: int | None = None) -> DataFrame:
+    """The deviation a quoter knows at each of its steps, from the prices before it.
+
+    A live quoter observes the first tick at its start and once more at its first step. A replay consumes the first
+    tick at its start, so that its steps begin with the second, and no tick counts twice. ``by_symbol``: a symbol's
+    rows stay together in order, for a fold to read; otherwise they are dealt in chunks.
+    """
+    if by_symbol:
+        order = Window.partitionBy("symbol").orderBy("seq")
+        dealt = ticks
+    else:
+        order = chunks.window("symbol", "seq")
+        dealt = chunks.with_guests(ticks, "symbol", "seq", RING, ["cents"], rows)
+    # with RING guests, the number and first price in a chunk are the symbol's own wherever the ring is not full
     first = F.first("cents").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = ticks.withColumns({"k": F.row_number().over(order), "first": first, "s1": F.sum("cents").over(w), "s2": F.sum(F.col("cents") * F.col("cents")).over(w)})
-    twice = F.when(F.col("k") <= RING, F.col("first")).otherwise(0)
-    s1, s2 = F.coalesce("s1", F.lit(0)) + twice, F.coalesce("s2", F.lit(0)) + twice * twice
-    slots = F.when(F.col("k") < RING, F.col("k") + 1).otherwise(RING).cast("long")
-    sigma = F.when(F.col("k") == 1, LEAST_SIGMA).otherwise(F.greatest(_sigma(slots, s1, s2), F.lit(LEAST_SIGMA)))
-    return rows.withColumn("sigma", sigma).drop("first", "s1", "s2")
+    summed = _sums(dealt.withColumns({"__k": F.row_number().over(order), "__first": first}), order, 1)
+    known = summed if by_symbol else chunks.own(summed)
+    k = F.col("__k")
+    if live:
+        observed = k
+        twice = F.when(k <= RING, F.col("__first")).otherwise(0).cast("decimal(19,0)")
+        s1, s2 = F.col("s1") + twice, F.col("s2") + twice * twice
+    else:
+        known, observed, s1, s2 = known.filter(k > 1), k - 1, F.col("s1"), F.col("s2")
+    slots = F.when(observed < RING, observed + 1).otherwise(RING)
+    sigma = F.when(observed == 1, LEAST_SIGMA).otherwise(_sigma(slots, s1, s2, scale))
+    return known.withColumn("sigma", sigma).drop("__k", "__first", "s1", "s2")
+
+
+def replay_ticks(messages: DataFrame, rows: int | None = None) -> DataFrame:
+    """Runs of equal timestamps in file order: adds ``tick``, from 1, by symbol."""
+    dealt = chunks.with_guests(messages, "symbol", "seq", 1, ["timestamp"], rows)
+    new = F.when(F.col("timestamp") == F.lag("timestamp").over(chunks.window("symbol", "seq")), 0).otherwise(1)
+    return chunks.running(chunks.own(dealt.withColumn("__new", new)), "symbol", "seq", {"tick": F.col("__new")}, rows).drop("__new")
 
 
-def replay_ticks(messages: DataFrame) -> DataFrame:
-    """Runs of equal timestamps in file order: adds ``tick``, from 1, by symbol."""
-    w = Window.partitionBy("symbol").orderBy("seq")
-    new = F.when(F.col("timestamp") == F.lag("timestamp").over(w), 0).otherwise(1)
-    return messages.withColumn("__new", new).withColumn("tick", F.sum("__new").over(w)).drop("__new")
+def normalized(ticks: DataFrame, clip: float = 10.0, least: float = 1e-8, rows: int | None = None) -> DataFrame:
+    """symbol, seq, z: prices by their running mean and deviation, cut at ``clip``, from exact sums."""
+    units = F.col("cents").cast("decimal(19,0)")
+    sums = {"n": F.lit(1), "s1": units.cast(WIDE), "s2": (units * units).cast(WIDE)}
+    seen = chunks.running(ticks.select("symbol", "seq", "cents"), "symbol", "seq", sums, rows)
+    n = F.col("n").cast("double")
+    whole = F.col("n").cast("decimal(13,0)") * F.col("s2").cast("decimal(25,0)") - F.col("s1").cast("decimal(19,0)") * F.col("s1").cast("decimal(19,0)")
+    z = (F.col("cents") - F.col("s1").cast("double") / n) / F.sqrt(F.greatest(whole.cast("double") / (n * n), F.lit(least)))
+    return seen.select("symbol", "seq", F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)).alias("z"))
 
 
 def conflate(ticks: DataFrame, millis: int) -> DataFrame:
@@ -97,15 +143,23 @@ def klines_to_messages(klines: DataFrame, step: int = 15, first_id: int = 1000)
     )
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, carry: list[str]) -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, carry: list[str], rows: int | None = None) -> DataFrame:
     """Each left row with the latest right row of its key at or before its time.
 
-    Both sides go through one window by key and time, so that a key's rows are sorted and read once; nothing is paired.
+    Both sides go through one window by key and chunk of time, so that rows are sorted and read once and nothing is
+    paired. The last right row before a chunk comes from a table of a row a chunk.
     """
-    mine = left.select(F.col(key).alias("__key"), F.col(left_time).alias("__time"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(F.struct(*carry)).schema[0].dataType).alias("__r"))
+    width = rows or ASOF_WIDTH
+    carried = right.select(F.struct(*carry)).schema[0].dataType
+    mine = left.select(F.col(key).alias("__key"), F.col(left_time).alias("__time"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(carried).alias("__r"))
     theirs = right.select(F.col(key), F.col(right_time), F.lit(0), F.lit(None).cast(mine.schema["__l"].dataType), F.struct(*carry))
-    w = Window.partitionBy("__key").orderBy("__time", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    found = mine.union(theirs).withColumn("__found", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1")
+    both = mine.union(theirs).withColumn(chunks.CHUNK, chunks.chunk_of("__time", width))
+    ends = both.groupBy("__key", chunks.CHUNK).agg(F.max_by("__r", F.when(F.col("__side") == 0, F.col("__time"))).alias("__end"))
+    before = Window.partitionBy("__key").orderBy(chunks.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bases = ends.select(F.col("__key").alias("__of"), F.col(chunks.CHUNK).alias("__in"), F.last("__end", ignorenulls=True).over(before).alias("__base"))
+    w = Window.partitionBy("__key", chunks.CHUNK).orderBy("__time", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = both.join(bases, F.col("__key").eqNullSafe(F.col("__of")) & F.col(chunks.CHUNK).eqNullSafe(F.col("__in")))
+    found = dealt.withColumn("__found", F.coalesce(F.last("__r", ignorenulls=True).over(w), "__base")).filter("__side = 1")
     return found.select("__l.*", *[F.col(f"__found.{c}").alias(c) for c in carry])
 
 

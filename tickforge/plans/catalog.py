@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tickforge.functions import market as m
-from tickforge.operators import folds, reports, series
+from tickforge.operators import chunks, folds, reports, series
 from tickforge.plans import oracle as sql
 from tickforge.sources import tables as t
 from tickforge.streaming import live
@@ -60,18 +60,21 @@ def replay_ticks(spark, d):
 
 def _klines(spark, d):
     candles = series.candles(t.raw_ticks(spark, d), 1800)
-    return candles.withColumn("n", F.row_number().over(Window.partitionBy("symbol").orderBy("time")) - 1)
+    return chunks.numbered(candles, "symbol", "time", "n", rows=10_000 * 1800).withColumn("n", F.col("n") - 1)
 
 
 @query("kline_range_scan", f"WITH {sql.RAW}, {sql.candles(1800)} SELECT * FROM candles WHERE time >= 1704412800 AND time <= 1705276800")
 def kline_range_scan(spark, d):
-    day = lambda x: F.unix_timestamp(F.lit(x), "yyyy-MM-dd")
-    return series.candles(t.raw_ticks(spark, d), 1800).filter((F.col("time") >= day("2024-01-05")) & (F.col("time") <= day("2024-01-15")))
+    at = t.raw_ticks(spark, d).schema["at"].dataType
+    day = lambda x: F.lit(x).cast(at)
+    # whole candles by their ticks' own time, so that the scan skips what lies outside
+    wanted = t.raw_ticks(spark, d).filter((F.col("at") >= day("2024-01-05 00:00:00")) & (F.col("at") < day("2024-01-15 00:30:00")))
+    return series.candles(wanted, 1800)
 
 
-@query("last_n_trades", f"WITH {sql.TICKS} SELECT seq, symbol, ts_ms, price, volume FROM ticks ORDER BY seq DESC LIMIT 400")
+@query("last_n_trades", f"WITH {sql.TICKS} SELECT seq, symbol, ts_ms, price, volume FROM ticks ORDER BY seq DESC LIMIT 400000")
 def last_n_trades(spark, d):
-    return t.ticks(spark, d).orderBy(F.desc("seq")).limit(400).select("seq", "symbol", "ts_ms", "price", "volume")
+    return t.ticks(spark, d).orderBy(F.desc("seq")).limit(400_000).select("seq", "symbol", "ts_ms", "price", "volume")
 
 
 @query("kline_to_messages", f"""WITH {sql.RAW}, {sql.candles(1800)}, k AS (
@@ -395,33 +398,27 @@ def recovery_snapshot(spark, d):
     return found.select("symbol", size("chart").alias("points"), first("chart").alias("first_point"), size("executions").alias("executions"), first("executions").alias("first_execution"))
 
 
-@query("param_sweep")
-def param_sweep(spark, d):
-    """The quoter under nine actions at once: each action and symbol is a series of its own."""
-    actions = spark.createDataFrame([(9 * i + j, g, s) for i, g in enumerate((0.05, 0.1, 0.5)) for j, s in enumerate((0.5, 1.0, 4.0))], "action int, gamma double, spread double")
-    rows = series.quoting_sigma(t.ticks(spark, d)).select("symbol", "seq", "price", "sigma").join(F.broadcast(actions))
+#: The actions of the sweep: number, gamma, spread.
+ACTIONS = [(3 * i + j, g, s) for i, g in enumerate((0.05, 0.1, 0.5)) for j, s in enumerate((0.5, 1.0, 4.0))]
+#: Cash, size and inventory of the sweep, with which wide quotes trip the breaker on some symbols.
+SWEPT = dict(start_cash=400_000.0, base_size=8.0, max_inventory=400.0)
 
-    def step(state: dict, row) -> list[tuple]:
-        q = state.setdefault("q", folds.Quoter(gamma=row.gamma, spread=row.spread))
-        _, _, _, side, *_, worth, _, _, ended = q.step(row.price, row.sigma)
-        return [(row.action, row.symbol, row.seq, side is not None, worth)]
 
-    out = folds.fold(rows, dict, step, "action int, symbol string, seq long, filled boolean, net_worth double", by=("action", "symbol"))
-    return out.groupBy("action", "symbol").agg(F.round(F.max_by("net_worth", "seq"), 4).alias("net_worth"), F.count_if("filled").alias("fills")).join(F.broadcast(actions), "action")
+@query("param_sweep", f"""WITH RECURSIVE {sql.sweep(ACTIONS, start=400000, base=8, most=400)}
+SELECT action, CAST(symbol AS VARCHAR) AS symbol, round(arg_max(net_worth, seq), 4) AS net_worth, count(side) AS fills, count(*) AS steps, bool_or(ended) AS terminated, any_value(gamma0) AS gamma, any_value(spread) AS spread
+FROM steps GROUP BY action, symbol""")
+def param_sweep(spark, d):
+    """The quoter under nine actions at once, side by side in one fold; an action ends at its breaker."""
+    out = folds.sweep(t.ticks(spark, d), ACTIONS, **SWEPT)
+    actions = spark.createDataFrame(ACTIONS, "action int, gamma double, spread double")
+    return out.withColumn("net_worth", F.round("net_worth", 4)).join(F.broadcast(actions), "action")
 
 
 @query("obs_normalized", f"""WITH {sql.TICKS}, w AS (SELECT symbol, seq, cents, count(*) OVER o AS n, CAST(sum(cents) OVER o AS HUGEINT) AS s1, CAST(sum(CAST(cents AS HUGEINT) * cents) OVER o AS HUGEINT) AS s2 FROM ticks WINDOW o AS (PARTITION BY symbol ORDER BY seq)),
 z AS (SELECT symbol, seq, (cents - CAST(s1 AS DOUBLE) / n) / sqrt(greatest(CAST(n * s2 - s1 * s1 AS DOUBLE) / (CAST(n AS DOUBLE) * n), 1e-8)) AS z FROM w)
 SELECT symbol, seq, round(least(greatest(z, -10e0), 10e0), 4) AS z FROM z""")
 def obs_normalized(spark, d):
-    """Prices by their running mean and deviation, cut at 10, from exact sums."""
-    w = Window.partitionBy("symbol").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    cents = F.col("cents").cast("decimal(19,0)")
-    rows = t.ticks(spark, d).select("symbol", "seq", "cents", F.count("*").over(w).alias("n"), F.sum(cents).over(w).alias("s1"), F.sum((cents * cents).cast("decimal(28,0)")).over(w).alias("s2"))
-    n = F.col("n").cast("double")
-    spread = (F.col("n").cast("decimal(10,0)") * F.col("s2").cast("decimal(25,0)") - (F.col("s1").cast("decimal(18,0)") * F.col("s1").cast("decimal(18,0)"))).cast("double")
-    z = (F.col("cents") - F.col("s1").cast("double") / n) / F.sqrt(F.greatest(spread / (n * n), F.lit(1e-8)))
-    return rows.select("symbol", "seq", F.round(F.least(F.greatest(z, F.lit(-10.0)), F.lit(10.0)), 4).alias("z"))
+    return series.normalized(t.ticks(spark, d)).withColumn("z", F.round("z", 4))
 
 
 # Order books
@@ -429,24 +426,24 @@ def obs_normalized(spark, d):
 
 @query("book_l1")
 def book_l1(spark, d):
-    rows = folds.book_l1(t.messages(spark, d))
+    rows = folds.book_l1(t.messages(spark, d), dealt=True)
     return rows.withColumns({"mid": m.mid_price(F.col("best_bid"), F.col("best_ask")), "obi": m.imbalance(F.col("bid_volume"), F.col("ask_volume"))})
 
 
 @query("lob_fills")
 def lob_fills(spark, d):
-    return folds.fills(t.messages(spark, d))
+    return folds.fills(t.messages(spark, d), dealt=True)
 
 
 @query("lob_cancels")
 def lob_cancels(spark, d):
-    return folds.book_l1(t.messages(spark, d)).filter(F.col("status").isin("CANCELLED", "NOT_FOUND")).select("symbol", "seq", "status", "cancelled")
+    return folds.book_l1(t.messages(spark, d), dealt=True).filter(F.col("status").isin("CANCELLED", "NOT_FOUND")).select("symbol", "seq", "status", "cancelled")
 
 
 @query("replay_mid")
 def replay_mid(spark, d):
     """Middle price after each run of equal timestamps, and whether it was the symbol's last."""
-    book = folds.book_l1(t.messages(spark, d)).select("symbol", "seq", "timestamp", "best_bid", "best_ask")
+    book = folds.book_l1(t.messages(spark, d), dealt=True).select("symbol", "seq", "timestamp", "best_bid", "best_ask")
     runs = series.replay_ticks(book).groupBy("symbol", "tick").agg(F.max_by(F.struct("seq", "timestamp", "best_bid", "best_ask"), "seq").alias("b"))
     last = F.col("tick") == F.max("tick").over(Window.partitionBy("symbol"))
     return runs.select("symbol", "tick", F.col("b.timestamp").alias("timestamp"), m.mid_price(F.col("b.best_bid"), F.col("b.best_ask")).alias("mid"), last.alias("done"))
@@ -454,7 +451,7 @@ def replay_mid(spark, d):
 
 @query("book_depth")
 def book_depth(spark, d):
-    changes = folds.resting_orders(t.messages(spark, d))
+    changes = folds.resting_orders(t.messages(spark, d), dealt=True)
     return changes.groupBy("symbol", "side", "price").agg(F.sum("change").alias("volume")).filter("volume > 0")
 
 

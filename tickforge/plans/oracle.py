@@ -46,16 +46,24 @@ QUOTED = f"""{KNOWN}, g AS (SELECT *, 0.1e0 * (60000.0e0 / greatest(price, 1.0e0
 quoted AS (SELECT *, (gamma * sigma * sigma + (2.0e0 / gamma) * ln(1.0e0 + gamma / 1.5e0)) / 2 AS half, price - inventory * gamma * sigma * sigma AS reservation FROM g)"""
 
 
-def sim(live: bool = True, quoting: str = "true", start: float = 1_000_000, base: float = 0.5, most: float = 10) -> str:
-    """``steps``: the quoter's recurrence, a row a tick, by a recursive query."""
+#: Ticks with the deviation that a replay knows: its start consumes a symbol's first tick, so steps begin with the second.
+REPLAYED = f"""{TICKS}, known AS (SELECT symbol, seq, ts_ms, price, r - 1 AS k, CASE WHEN r = 2 THEN 0.1e0 ELSE greatest(sqrt(CAST(CAST(c * s2 - s1 * s1 AS BIGINT) AS DOUBLE) / CAST(c * c AS DOUBLE)) / 100.0e0, 0.1e0) END AS sigma
+    FROM (SELECT *, CASE WHEN seen < 100 THEN seen + 1 ELSE 100 END AS c
+        FROM (SELECT symbol, seq, ts_ms, price, row_number() OVER (PARTITION BY symbol ORDER BY seq) AS r, count(*) OVER w AS seen, sum(cents) OVER w AS s1, sum(cents * cents) OVER w AS s2
+            FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING))) WHERE r > 1)"""
+
+
+def sim(live: bool = True, quoting: str = "true", start: float = 1_000_000, base: float = 0.5, most: float = 10, actions: tuple = ((0, 0.1, 1.0),)) -> str:
+    """``steps``: the quoter's recurrence, a row a step and action (number, gamma, spread), by a recursive query."""
+    plan = ", ".join(f"({n}, {g}e0, {s}e0)" for n, g, s in actions)
     again = "pbid = 0 OR abs(px - panchor) / greatest(px, 1.0e0) > 0.0003e0" + ("" if live else " OR true")
-    return f"""{KNOWN},
+    return f"""{KNOWN if live else REPLAYED}, plan AS (SELECT * FROM (VALUES {plan}) t(action, gamma0, spread)),
 state AS (
-    SELECT symbol, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS ts_ms, price AS mid, true AS is_quoting, 0.0e0 AS qbid, 0.0e0 AS qask, CAST(NULL AS VARCHAR) AS side, 0.0e0 AS size, 0.0e0 AS paid,
+    SELECT action, gamma0, spread, symbol, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS ts_ms, price AS mid, true AS is_quoting, 0.0e0 AS qbid, 0.0e0 AS qask, CAST(NULL AS VARCHAR) AS side, 0.0e0 AS size, 0.0e0 AS paid,
         CAST(NULL AS DOUBLE) AS realized, {start}e0 AS cash, 0.0e0 AS inventory, CAST(0 AS BIGINT) AS lots, 0.0e0 AS average, {start}e0 AS net_worth, 0.0e0 AS gained, 0.0e0 AS reward, false AS ended, 0.0e0 AS rbid, 0.0e0 AS rask, price AS anchor
-    FROM known WHERE k = 1
+    FROM known, plan WHERE k = 1
     UNION ALL
-    SELECT symbol, k, seq, ts_ms, px, quoting, qbid, qask, CASE d WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' END, CASE WHEN d <> 0 THEN sz ELSE 0.0e0 END, paid,
+    SELECT action, gamma0, spread, symbol, k, seq, ts_ms, px, quoting, qbid, qask, CASE d WHEN 1 THEN 'BUY' WHEN -1 THEN 'SELL' END, CASE WHEN d <> 0 THEN sz ELSE 0.0e0 END, paid,
         CASE WHEN d <> 0 AND pinv * d < 0 THEN (pavg - paid) * d * least(sz, abs(pinv)) END, cash, inv, plots + d,
         CASE WHEN d = 0 THEN pavg WHEN pinv * d >= 0 THEN (pavg * abs(pinv) + paid * sz) / (abs(pinv) + sz) WHEN sz > abs(pinv) THEN paid ELSE pavg END,
         worth, worth - pworth, worth - pworth - 0.1e0 * inv * inv - CASE WHEN worth < {start}e0 * 0.8e0 THEN 100000.0e0 ELSE 0.0e0 END, worth < {start}e0 * 0.8e0,
@@ -65,15 +73,19 @@ state AS (
         SELECT *, CASE d WHEN 1 THEN qbid WHEN -1 THEN qask ELSE 0.0e0 END AS paid FROM (
         SELECT *, CASE WHEN quoting AND px <= qbid AND pinv + sz <= {most}e0 THEN 1 WHEN quoting AND px >= qask AND pinv - sz >= -{most}e0 THEN -1 ELSE 0 END AS d FROM (
         SELECT *, CASE WHEN NOT quoting THEN 0.0e0 WHEN fresh THEN px - half ELSE pbid END AS qbid, CASE WHEN NOT quoting THEN 0.0e0 WHEN fresh THEN px + half ELSE pask END AS qask, CASE WHEN quoting AND fresh THEN px ELSE panchor END AS anchor FROM (
-        SELECT *, least(greatest((gamma * sigma * sigma + (2.0e0 / gamma) * ln(1.0e0 + gamma / 1.5e0)) * 1.0e0 / 2.0e0, px * 0.00003e0), px * 0.0001e0) AS half,
+        SELECT *, least(greatest((gamma * sigma * sigma + (2.0e0 / gamma) * ln(1.0e0 + gamma / 1.5e0)) * spread / 2.0e0, px * 0.00003e0), px * 0.0001e0) AS half,
             {base}e0 * least(greatest(greatest(px * 0.005e0, 0.01e0) / greatest(sigma, 0.01e0), 0.2e0), 1.0e0) AS sz, ({again}) AS fresh FROM (
-        SELECT n.symbol, n.k, n.seq, n.ts_ms, n.price AS px, n.sigma, 0.1e0 * (60000.0e0 / greatest(n.price, 1.0e0)) AS gamma, (n.{quoting}) AS quoting,
+        SELECT s.action, s.gamma0, s.spread, n.symbol, n.k, n.seq, n.ts_ms, n.price AS px, n.sigma, s.gamma0 * (60000.0e0 / greatest(n.price, 1.0e0)) AS gamma, (n.{quoting}) AS quoting,
             s.cash AS pcash, s.inventory AS pinv, s.lots AS plots, s.average AS pavg, s.net_worth AS pworth, s.rbid AS pbid, s.rask AS pask, s.anchor AS panchor
         FROM state s JOIN known n ON n.symbol = s.symbol AND n.k = s.k + 1 WHERE NOT s.ended)))))))
 ),
 steps AS (SELECT *, qbid AS bid, qask AS ask FROM state WHERE k > 0)""".replace("(n.true)", "true")
 
 
+def sweep(actions: list, **parameters) -> str:
+    return sim(actions=tuple(actions), **parameters)
+
+
 FILLS = "fills AS (SELECT symbol, seq, ts_ms AS time, side, round(paid, 2) AS price, round(size, 4) AS size, CASE WHEN side = 'SELL' THEN round(gained, 2) ELSE 0.0e0 END AS realized_pnl FROM steps WHERE side IS NOT NULL)"
 MARKERS = """markers AS (SELECT symbol, seq, time // 1000 AS time, CASE side WHEN 'BUY' THEN 'belowBar' ELSE 'aboveBar' END AS position, CASE side WHEN 'BUY' THEN '#10B981' ELSE '#EF4444' END AS color,
     CASE side WHEN 'BUY' THEN 'arrowUp' ELSE 'arrowDown' END AS shape, side AS text FROM fills)"""

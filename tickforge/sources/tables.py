@@ -91,7 +91,7 @@ def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lots = F.get_json_object("props", "$.k").cast("long")
     return e.select(
         F.col("event_id").alias("seq"), F.col("event_type").alias("symbol"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
-        F.col("value").alias("price"), lots.alias("lots"), (lots / 100.0).alias("volume"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"),
+        F.col("value").alias("price"), lots.alias("lots"), (lots / 100.0).alias("volume"), (F.col("user_id") % 2 == 0).alias("is_buyer_maker"), F.col("ts").alias("at"),
     )
 
 
