@@ -1,0 +1,104 @@
+"""One symbol's windows spread over chunks give what one task would."""
+
+import bisect
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import rows_of
+from tickforge.operators import chunks, folds, series
+
+TICK = "symbol string, seq long, ts_ms long, cents long, price double, is_buyer_maker boolean"
+
+
+def one_symbol(n, seed, sparse=False, start=6_000_000, step=900):
+    r, cents, seq, out = random.Random(seed), start, 0, []
+    for _ in range(n):
+        cents += r.randrange(-step, step + 1)
+        seq += r.choice([1, 1, 1, 40]) if sparse else 1
+        out.append(("a", seq, seq * 10, cents, cents / 100, False))
+    return out
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+@pytest.mark.parametrize("rows", [7, 60, 150, None])
+def test_volatility_by_brute_force(spark, sparse, rows):
+    data = one_symbol(420, 1, sparse)
+    df = spark.createDataFrame(data, TICK).repartition(3)
+    prices, at = [x[3] / 100 for x in data], {x[1]: i for i, x in enumerate(data)}
+    clean = {r.seq: r for r in series.rolling_volatility(df, zero_slot=False, rows=rows).collect()}
+    ring = {r.seq: r for r in series.rolling_volatility(df, rows=rows).collect()}
+    live = {r.seq: r for r in series.quoting_sigma(df, rows=rows).collect()}
+    replay = {r.seq: r for r in series.quoting_sigma(df, live=False, rows=rows).collect()}
+    assert len(clean) == len(ring) == len(live) == len(data) and len(replay) == len(data) - 1
+    for seq, i in at.items():
+        window = prices[max(0, i - 99) : i + 1]
+        deviation = lambda w: max(float(np.std(w)), 0.1)
+        slots = lambda w: w if len(w) in (1, 100) else [*w, 0.0]
+        assert clean[seq].n == len(window) and clean[seq].sigma == pytest.approx(deviation(window), abs=1e-6)
+        assert ring[seq].sigma == pytest.approx(deviation(slots(window)), abs=1e-6)
+        seen = [prices[0], *prices[:i]][-100:]
+        assert live[seq].sigma == pytest.approx(0.1 if len(seen) == 1 else deviation(slots(seen)), abs=1e-6)
+        if i:
+            seen = prices[:i][-100:]
+            assert replay[seq].sigma == pytest.approx(0.1 if len(seen) == 1 else deviation(slots(seen)), abs=1e-6)
+    assert rows_of(series.quoting_sigma(df, by_symbol=True)) == rows_of(series.quoting_sigma(df, rows=rows))
+
+
+@pytest.mark.parametrize("rows", [5, 33, None])
+def test_runs_numbers_and_normals(spark, rows):
+    data = one_symbol(300, 2, sparse=True)
+    messages = [("a", x[1], k // 3 if k % 50 else 7) for k, x in enumerate(data)]
+    got = {r.seq: r.tick for r in series.replay_ticks(spark.createDataFrame(messages, "symbol string, seq long, timestamp long").repartition(3), rows).collect()}
+    tick, before = 0, None
+    for _, seq, timestamp in messages:
+        tick, before = tick + (timestamp != before), timestamp
+        assert got[seq] == tick
+    df = spark.createDataFrame(data, TICK)
+    numbers = {r.seq: r.nth for r in chunks.numbered(df, "symbol", "seq", "nth", rows).collect()}
+    assert [numbers[x[1]] for x in data] == list(range(1, len(data) + 1))
+    z = {r.seq: r.z for r in series.normalized(df, rows=rows).collect()}
+    for i, x in enumerate(data):
+        seen = np.array([y[3] for y in data[: i + 1]], float)
+        assert z[x[1]] == pytest.approx(min(max((x[3] - seen.mean()) / math.sqrt(max(seen.var(), 1e-8)), -10), 10), abs=1e-4)
+
+
+@pytest.mark.parametrize("rows", [5, 100, None])
+def test_asof_by_brute_force(spark, rows):
+    r = random.Random(3)
+    left = [("a", r.randrange(1000)) for _ in range(200)] + [("b", 5), (None, 5), ("a", None)]
+    times = sorted(r.sample(range(200, 1000), 40))
+    right = [("a", t, f"v{t}") for t in times]
+    want = []
+    for k, t in left:
+        i = bisect.bisect_right(times, t) if k == "a" and t is not None else 0
+        want.append((k, t, f"v{times[i - 1]}" if i else None))
+    found = series.asof(spark.createDataFrame(left, "k string, t long"), spark.createDataFrame(right, "k string, u long, v string"), "k", "t", "u", ["v"], rows)
+    assert rows_of(found) == sorted(want, key=repr)
+
+
+def test_one_symbol_uses_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge partitions as small as these
+    try:
+        df = spark.createDataFrame(one_symbol(400, 4), TICK)
+        messages = df.withColumn("timestamp", F.col("seq"))
+        right = spark.createDataFrame([("a", 5, 1)], "symbol string, u long, v int")
+        for found in (series.rolling_volatility(df, rows=10), series.quoting_sigma(df, rows=10), series.replay_ticks(messages, 10), series.normalized(df, rows=10), series.asof(df, right, "symbol", "ts_ms", "u", ["v"], 100)):
+            assert found.groupBy(F.spark_partition_id().alias("p")).count().count() >= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_high_and_low_prices(spark):
+    high = spark.createDataFrame(one_symbol(300, 5, start=400_000 * 100 * 10**4, step=10**9), TICK)
+    assert series.rolling_volatility(high).filter("sigma > 0.1").count() > 250
+    assert len(series.normalized(high).collect()) == len(series.quoting_sigma(high).collect()) == 300
+    small = [("a", i, i, 70_000 + 300 * (i % 7), 0.07 + 0.0003 * (i % 7), False) for i in range(300)]
+    found = series.rolling_volatility(spark.createDataFrame(small, TICK), zero_slot=False, scale=1e6)
+    assert found.filter("sigma <> 0.1").count() == 0  # the floor of a tenth holds at any scale
+    wide = [("a", i, i, c * 10_000, c / 100, f) for _, i, _, c, _, f in one_symbol(300, 6)]
+    at = lambda df, scale: [round(r.sigma, 6) for r in series.rolling_volatility(df, scale=scale).orderBy("seq").collect()]
+    assert at(spark.createDataFrame(wide, TICK), 1e6) == at(spark.createDataFrame(one_symbol(300, 6), TICK), 100.0)

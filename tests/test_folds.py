@@ -187,3 +187,76 @@ def test_one_shuffle_feeds_window_and_fold(spark):
     df = spark.createDataFrame([("a", i, i, c, c / 100, False) for i, c in enumerate(walk(50, 5))], TICK)
     plan = folds.simulate(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, plan
+
+
+def test_a_replay_starts_with_the_second_tick(spark):
+    rows = [("a", i, i, c, c / 100, False) for i, c in enumerate(walk(3, 5))] + [("b", 0, 0, 6_000_000, 60000.0, False)]
+    got = folds.simulate(spark.createDataFrame(rows, TICK), live=False).collect()
+    assert [(r.symbol, r.seq) for r in sorted(got, key=lambda r: r.seq)] == [("a", 1), ("a", 2)]
+
+
+def test_sweep_equals_single_runs(spark):
+    """Every action of the sweep ends as a simulation of its own, at the breaker if that trips."""
+    series_of = {s: walk(300, k) for k, s in enumerate("abc")}
+    series_of["c"] = [c // (1 + i // 20 % 2) for i, c in enumerate(series_of["c"])]  # halves and doubles in turn
+    df = spark.createDataFrame([(s, i, i, c, c / 100, False) for s, cs in series_of.items() for i, c in enumerate(cs)], TICK)
+    fixed = dict(start_cash=60_000.0, base_size=1.0, max_inventory=400.0)
+    actions = [(0, 0.1, 1.0), (1, 0.05, 0.5), (2, 0.5, 4.0)]
+    got = {(r.symbol, r.action): r for r in folds.sweep(df, actions, **fixed).collect()}
+    tripped = 0
+    for n, gamma, spread in actions:
+        alone = folds.simulate(df, gamma=gamma, spread=spread, **fixed).collect()
+        for s in series_of:
+            mine = sorted((r for r in alone if r.symbol == s), key=lambda r: r.seq)
+            r = got[s, n]
+            assert (r.net_worth, r.fills, r.steps, r.terminated) == (mine[-1].net_worth, sum(x.side is not None for x in mine), len(mine), mine[-1].terminated)
+            tripped += r.terminated
+    assert 0 < tripped < len(got)
+
+
+@pytest.fixture(scope="module")
+def played(spark):
+    """The fixture's messages of the smallest folder, played through the plain book."""
+    from tickforge.sources import tables
+
+    rows = sorted(tables.messages(spark, "/root/testdata/sf0.001").select(*folds.ORDER_COLUMNS).collect(), key=lambda r: (r.symbol, r.seq))
+    books, steps = {}, []
+    for r in rows:
+        book = books.setdefault(r.symbol, PlainBook())
+        before = sum(o[2] for o in book.orders)
+        book.apply(r.type, r.order_id, r.side, r.price, r.qty)
+        gone = before - sum(o[2] for o in book.orders) if r.type in (2, 3) else 0
+        steps.append((r, gone, book.best(0), book.best(1)))
+    return books, steps
+
+
+def test_book_queries_equal_the_plain_book(spark, played):
+    from tickforge.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    books, steps = played
+    cancels = sorted((r.symbol, r.seq, "CANCELLED" if gone else "NOT_FOUND", gone) for r, gone, _, _ in steps if r.type in (2, 3))
+    assert sorted((r.symbol, r.seq, r.status, r.cancelled) for r in catalog.QUERIES["lob_cancels"](spark, folder).collect()) == cancels and any(c[3] for c in cancels)
+    depth = {}
+    for symbol, book in books.items():
+        for _, price, qty, side in book.orders:
+            if qty and price < 1_000_000:
+                depth[symbol, side, price] = depth.get((symbol, side, price), 0) + qty
+    assert {(r.symbol, r.side, r.price): r.volume for r in catalog.QUERIES["book_depth"](spark, folder).collect()} == depth
+    # advance_tick: the middle after each run of equal timestamps; done with the last
+    mids, last = {}, {}
+    for k, (r, _, bid, ask) in enumerate(steps):
+        following = steps[k + 1][0] if k + 1 < len(steps) and steps[k + 1][0].symbol == r.symbol else None
+        if following is None or following.timestamp != r.timestamp:
+            tick = last[r.symbol] = last.get(r.symbol, 0) + 1
+            mid = (bid + ask) / 2 if bid != -1 and ask != -1 else float(bid) if bid != -1 else float(ask) if ask != -1 else 62_500.0
+            mids[r.symbol, tick] = (r.timestamp, mid, following is None)
+    assert {(r.symbol, r.tick): (r.timestamp, r.mid, r.done) for r in catalog.QUERIES["replay_mid"](spark, folder).collect()} == mids
+
+
+def test_book_folds_use_the_messages_own_shuffle(spark):
+    from tickforge.sources import tables
+
+    messages = tables.messages(spark, "/root/testdata/sf0.001")
+    for found in (folds.book_l1(messages, dealt=True), folds.fills(messages, dealt=True), folds.resting_orders(messages, dealt=True)):
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
