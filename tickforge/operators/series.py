@@ -102,10 +102,22 @@ def quoting_sigma(ticks: DataFrame, live: bool = True, scale: float = 100.0, by_
 
 
 def replay_ticks(messages: DataFrame, rows: int | None = None) -> DataFrame:
-    """Runs of equal timestamps in file order: adds ``tick``, from 1, by symbol."""
-    dealt = chunks.with_guests(messages, "symbol", "seq", 1, ["timestamp"], rows)
-    new = F.when(F.col("timestamp") == F.lag("timestamp").over(chunks.window("symbol", "seq")), 0).otherwise(1)
-    return chunks.running(chunks.own(dealt.withColumn("__new", new)), "symbol", "seq", {"tick": F.col("__new")}, rows).drop("__new")
+    """Runs of equal timestamps in file order: adds ``tick``, from 1, by symbol.
+
+    Runs are counted in each chunk; a chunk that begins with the timestamp the one before it ended with goes on its run.
+    """
+    order = chunks.window("symbol", "seq")
+    new = F.when(F.col("timestamp") == F.lag("timestamp").over(order), 0).otherwise(1)
+    dealt = messages.withColumn(chunks.CHUNK, chunks.chunk_of("seq", rows or chunks.ROWS)).withColumn("__new", new)
+    local = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ends = dealt.groupBy("symbol", chunks.CHUNK).agg(F.sum("__new").alias("__n"), F.min_by("timestamp", "seq").alias("__first"), F.max_by("timestamp", "seq").alias("__last"))
+    in_order = Window.partitionBy("symbol").orderBy(chunks.CHUNK)
+    joins = F.when(F.col("__first") == F.lag("__last").over(in_order), 1).otherwise(0)
+    ends = ends.withColumn("__joins", joins)
+    base = F.coalesce(F.sum("__n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.sum("__joins").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    bases = ends.select(F.col("symbol").alias("__of"), F.col(chunks.CHUNK).alias("__in"), base.alias("__base"))
+    found = dealt.join(bases, F.col("symbol").eqNullSafe(F.col("__of")) & F.col(chunks.CHUNK).eqNullSafe(F.col("__in")))
+    return found.withColumn("tick", local + F.col("__base")).drop("__new", "__base", "__of", "__in", chunks.CHUNK)
 
 
 def normalized(ticks: DataFrame, clip: float = 10.0, least: float = 1e-8, rows: int | None = None) -> DataFrame:
@@ -114,7 +126,7 @@ def normalized(ticks: DataFrame, clip: float = 10.0, least: float = 1e-8, rows:
     sums = {"n": F.lit(1), "s1": units.cast(WIDE), "s2": (units * units).cast(WIDE)}
     seen = chunks.running(ticks.select("symbol", "seq", "cents"), "symbol", "seq", sums, rows)
     n = F.col("n").cast("double")
-    whole = F.col("n").cast("decimal(13,0)") * F.col("s2").cast("decimal(25,0)") - F.col("s1").cast("decimal(19,0)") * F.col("s1").cast("decimal(19,0)")
+    whole = F.col("n").cast("decimal(10,0)") * F.col("s2").cast("decimal(28,0)") - F.col("s1").cast("decimal(19,0)") * F.col("s1").cast("decimal(19,0)")
     z = (F.col("cents") - F.col("s1").cast("double") / n) / F.sqrt(F.greatest(whole.cast("double") / (n * n), F.lit(least)))
     return seen.select("symbol", "seq", F.least(F.greatest(z, F.lit(-clip)), F.lit(clip)).alias("z"))
 
