@@ -31,6 +31,11 @@ ITEM = "position int, kind string, text string, src string, digest string, capti
 FEATURES = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 _BREAKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "table", "tr", "article", "section", "nav", "header", "footer", "figure", "blockquote", "pre"}
 _SILENT, _MEDIA = {"script", "style", "template", "noscript", "title"}, {"img", "video", "audio", "source", "embed"}
+#: A document's page: name, digest, name, bytes, name, digest.
+PAGE = (
+    '<article><h1>%s</h1><figure><img data-digest="%s"><figcaption>%s</figcaption></figure><p>%d bytes</p>'
+    '<img src="missing.png" alt="none of %s"><p>again</p><img data-digest="%s" alt="again"></article>'
+)
 #: Digests that a task remembers having stored.
 REMEMBERED = 200_000
 
@@ -239,15 +244,25 @@ def assembled(sequence: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a page of one figure whose payload is its text."""
-    docs = texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Every document as a page: its name, a figure of its text as payload, a media reference that nothing is stored for,
+    and its payload once more. What is told of the payload comes from the figure; the rest shows order and captions."""
+    return described(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    docs = texts(docs)
     raw = F.encode("text", "UTF-8")
     known = stored(features(store(docs.select(raw.alias("payload")))), "features")
     n = F.octet_length("text")
     fill = F.when(n == 0, UNIT).otherwise(F.pmod(-n, F.lit(UNIT)))
     digest = F.sha2(F.concat(raw, F.unhex(F.repeat(F.lit("FF"), fill))), 256)
-    name = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    html = F.concat(F.lit("<article><p>"), name, F.lit('</p><figure><img data-digest="'), digest, F.lit('"><figcaption>'), name, F.lit("</figcaption></figure></article>"))
+    name = F.concat_ws(" ", F.lit("document"), F.col("doc_id"))
+    html = F.format_string(PAGE, name, digest, name, n, name, digest)
     found = assembled(sequences(docs.select("doc_id", html.alias("html")), "doc_id"), known, "doc_id")
-    media = references(found, "doc_id")
-    return media.select("doc_id", *[f"media.{c}" for c in known.columns if c != "digest"], "position", "caption")
+    media = F.filter("items", lambda i: i.kind == "media")
+    first = F.get(media, 0)
+    return found.select(
+        "doc_id", *[first.media.getField(c).alias(c) for c in known.columns if c != "digest"], first.position.alias("position"), first.caption.alias("caption"),
+        F.size("items").alias("n_items"), F.array_join(F.transform("items", lambda i: i.kind), ",").alias("kinds"),
+        F.array_join(F.transform(media, lambda i: F.concat_ws("=", i.caption, F.coalesce(i.media.payload_sha256, F.lit("-")))), ";").alias("aligned"),
+    )
