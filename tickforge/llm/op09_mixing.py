@@ -2,7 +2,7 @@
 
 Each source's target is its share by weight of ``share`` of all words, at most ``most`` times the source; what is cut
 off is shared out again. A document's expected copies are its source's target over its size. Within a source,
-documents run in the order of size and doc_id; the expected copies are prefix-summed, one random offset is added, and a
+documents run in the order of size, doc_id and text hash; the expected copies are prefix-summed, one random offset is added, and a
 document is taken once for every integer its stretch crosses. In size order equal stretches hold equal words, so the
 words taken come within about one long document of the target. Where a source has few documents that is still far, so
 the offset is drawn ``DRAWS`` times and the draw whose total comes nearest is used (balanced rejection).
@@ -59,14 +59,14 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def sized(docs: DataFrame, row: Column) -> DataFrame:
-    """source, size and doc_id, by which rows are put in order, and whatever goes along."""
+    """source, size, doc_id and the text's hash, by which rows are put in order, and whatever goes along."""
     source = F.col("source").cast("string").alias("source")
-    return docs.select(source, size_in_words(F.col("text")).alias("size"), F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"))
+    return docs.select(source, size_in_words(F.col("text")).alias("size"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), row.alias("row"))
 
 
 def copies(sizes: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
     """Adds source_size, target and copies to every row of ``sized``."""
-    rows = ordered(sizes, ["source", "size", "doc_id"], "by-source")
+    rows = ordered(sizes, ["source", "size", "doc_id", "tie"], "by-source")
     same = rows.groupBy("shard", "source").agg(F.count("*").alias("__n"), F.min("idx").alias("__first"))
     based = running_base(same, ["source"], ["shard"], "__n", "__base").alias("b")
     goal = targets(rows.select("source", "size"), **mixture).alias("t")
@@ -94,7 +94,8 @@ def copies(sizes: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
     """The mixed documents, each row as often as it is taken, with the columns of docs."""
-    taken = copies(sized(docs, F.struct("*")), seed, **mixture).filter("copies > 0")
+    # stored, so that the range partitioner's sampling doesn't count the words a second time
+    taken = copies(stored(sized(docs, F.struct("*")), "sizes"), seed, **mixture).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
