@@ -5,7 +5,8 @@ the shard before it), n_tokens, words (little-endian 64-bit Simple-8b words), bl
 before each block of 128 words) and escapes (raw 64-bit values). Writing through Spark's committed Parquet output
 keeps the files whole when executors are lost.
 
-Defined cases: a null or empty text has only the end id; equal doc_ids keep all their rows, ordered by text; an
+Defined cases: a null or empty text has only the end id; equal doc_ids keep all their rows, ordered by the
+hash of the text, then by text; an
 empty table gives no rows; other columns of the input are not read.
 """
 
@@ -75,7 +76,9 @@ def write_ids(docs: DataFrame, vocab: str | None = None, end_id: int = 2) -> Dat
                     )
                     rows, size, first = [], 0, i + 1
 
-    in_order = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # with the hash, rows of one id, or of none, spread over many files
+    rows = texts(docs).withColumn("h", F.xxhash64("text"))
+    in_order = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     return stored(in_order.mapInArrow(pack, FILE_SCHEMA), "token-files")
 
 
