@@ -10,7 +10,8 @@ varied its words are. The network learns from a bounded sample of labelled docum
 a fifth of the sample is kept apart to set the temperature by which its log odds are divided, so that scores are
 calibrated probabilities. Labels, language, source and doc_id are no inputs.
 
-Defined cases: null and empty texts are scored as documents of no words; several labels of a document are averaged;
+Defined cases: null and empty texts are scored as documents of no words; several labels of a document are averaged, of several
+texts under one doc_id the one of least features teaches;
 with labels of one class or none every score is their mean (0.5 for none); repeated rows get equal scores; an empty
 table gives no rows. ``keep`` returns the columns of docs.
 """
@@ -148,8 +149,10 @@ class Network:
         self.temperature = 1.0
         if len(apart) and y[apart].min() != y[apart].max():
             odds, sign = self.log_odds(x[apart]), 2 * y[apart] - 1
-            grid = np.exp(np.linspace(0, np.log(8), 61))  # a sample that the network separates asks for no sharper scores
-            self.temperature = float(min(grid, key=lambda t: np.logaddexp(0, -sign * odds / t).mean()))
+            grid = np.exp(np.linspace(-np.log(8), np.log(8), 121))
+            best = float(min(grid, key=lambda t: np.logaddexp(0, -sign * odds / t).mean()))
+            # a sample that the network separates would ask for ever sharper scores, and tells no temperature
+            self.temperature = best if best > grid[0] else 1.0
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(np.clip((x - self.centre) / self.scale, -8, 8) @ self.weights[0] + self.weights[1])
@@ -183,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     # at most ``sample`` rows are broadcast, and as many come back
     known = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")
-    rows = known.mapInArrow(features, "doc_id long, x array<double>, label double").dropDuplicates(["doc_id"]).collect()
+    rows = known.mapInArrow(features, "doc_id long, x array<double>, label double").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("label").alias("label")).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = np.array([r.x for r in rows]).reshape(len(rows), FEATURES)
     return vectors, Network(x, np.array([r.label for r in rows]))
