@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import TEXTS
 from tickforge.llm import op04_winnowing as winnowing
@@ -217,3 +218,27 @@ def test_line_dedup_equals_sql(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     want = Counter(map(tuple, con.execute(f"SELECT doc_id, source, text, n_lines, n_dropped FROM ({lines.ORACLE})").fetchall()))
     assert Counter(tuple(r) for r in lines.query(spark, folder).collect()) == want
+
+
+def test_line_dedup_equals_sql_with_holes(spark, tmp_path, monkeypatch):
+    """Null texts, null hosts and repeated doc_ids, by SQL and by both plans."""
+    rows = [(k % 9, "a" if k % 3 else None, None if k % 5 == 0 else f"shared line\nline {k}\n\nshared line") for k in range(40)] + [(None, "b", "shared line")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    want = Counter(map(tuple, con.execute(f"SELECT doc_id, source, text, n_lines, n_dropped FROM ({lines.ORACLE})").fetchall()))
+    assert Counter(tuple(r) for r in lines.query(spark, str(tmp_path)).collect()) == want and any(r[4] for r in want)
+    monkeypatch.setattr(lines, "BROADCAST_LINES", -1)
+    assert Counter(tuple(r) for r in lines.query(spark, str(tmp_path)).collect()) == want
+
+
+def test_hosts_of_pages(spark):
+    urls = ["https://www.Example.org:8080/a?b@c", "http://user:pw@site.example/x", "//no.scheme/", None, "ftp://[2001:db8::1]/f", "https://a.b.c#frag"]
+    found = spark.createDataFrame([(u,) for u in urls], "url string").select(lines.host_of(F.col("url")).alias("host")).collect()
+    assert [r.host for r in found] == ["example.org", "site.example", None, None, "[2001:db8::1]", "a.b.c"]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    texts = pages.select(F.col("page_id").alias("doc_id"), lines.host_of(F.col("url")).alias("source"), F.regexp_replace("html", "<[^>]*>", "\n").alias("text"))
+    rows = [(r.doc_id, r.text, r.source) for r in texts.collect()]
+    assert len({h for _, _, h in rows}) > 3
+    assert Counter((r.doc_id, r.text) for r in lines.dedup(texts).collect()) == plain_dedup(rows, lines.RATIO, lines.MIN_PAGES)

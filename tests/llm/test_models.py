@@ -1,7 +1,9 @@
 """Quality scores, lattice scores, media, mixing and the pipeline."""
 
 import hashlib
+import html
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -38,6 +40,38 @@ def test_quality_edges(docs, nothing, spark):
     assert quality.keep(nothing, labels).count() == 0
 
 
+def test_word_vectors_by_brute_force(docs):
+    """Random indexing by its definition: each word adds its neighbours' index vectors, over all documents."""
+    plus, minus = quality.index_vectors()
+    table = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for _, t, _ in TEXTS:
+        words = quality.slots(t or "").tolist()
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.REACH), min(len(words), i + quality.REACH + 1)):
+                if j != i:
+                    table[w, plus[words[j]]] += 1
+                    table[w, minus[words[j]]] -= 1
+    length = np.linalg.norm(table, axis=1, keepdims=True)
+    vectors = quality.word_vectors(docs)
+    assert np.allclose(vectors, table / np.maximum(length, 1e-9), atol=1e-6)
+    text = TEXTS[0][1]
+    words = quality.slots(text).tolist()
+    v = np.array([vectors[w] for w in words], float)
+    kinds = sorted({*words})
+    want = [*v.mean(0), *np.array([vectors[k] for k in kinds], float).mean(0), *v.std(0), math.log1p(len(words)), len(kinds) / len(words)]
+    assert np.allclose(quality.pooled(text, vectors), want, atol=1e-6)
+
+
+def test_temperature_goes_both_ways():
+    draw = np.random.default_rng(1)
+    x = draw.normal(size=(4000, quality.FEATURES))
+    y = (draw.random(4000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(float)
+    network = quality.Network(x, y)
+    assert 1 / 8 < network.temperature < 8
+    clear = quality.Network(np.where(x[:, :1] > 0, 3.0, -3.0) + 0 * x, (x[:, 0] > 0).astype(float))
+    assert clear.temperature == 1.0 and ((clear.probability(np.full((1, quality.FEATURES), 3.0)) > 0.9).all())
+
+
 def test_network_learns_and_calibrates():
     draw = np.random.default_rng(0)
     x = draw.normal(size=(3000, quality.FEATURES))
@@ -188,6 +222,46 @@ def test_media_round_trip(docs, nothing, spark):
     assert media.features(media.store(nothing.select(F.encode("text", "UTF-8")))).count() == 0
 
 
+def plain_feature(payload):
+    picture = np.frombuffer(payload, np.uint8).reshape(-1, 24).astype(float)
+    rows = len(picture) // 8
+    small = [[picture[r * rows : (r + 1) * rows, c * 3 : c * 3 + 3].mean() for c in range(8)] for r in range(8)]
+    mean = np.mean(small)
+    bits = lambda f: "".join(f"{int(''.join(str(int(f(r, c))) for c in range(8)), 2):02x}" for r in range(8))
+    return f"{bits(lambda r, c: small[r][c] > mean)}:{bits(lambda r, c: small[r][c] > small[r][c - 1])}:{picture.mean():.4f}"
+
+
+def test_media_query_by_brute_force(docs, nothing, spark):
+    more = spark.createDataFrame([(None, None), (None, "z")], "doc_id long, text string")
+    found = media.described(docs.select("doc_id", "text").union(more)).collect()
+    want = Counter()
+    for i, t in [*((i, t) for i, t, _ in TEXTS), (None, None), (None, "z")]:
+        b, name = (t or "").encode(), "document" if i is None else f"document {i}"
+        payload = b + b"\xff" * (-len(b) % 576 if b else 576)
+        kept = f"P5\n24 {len(payload) // 24}\n255\n".encode() + payload
+        sha = hashlib.sha256(payload).hexdigest()
+        want[
+            i, len(b), len(payload), sha, zlib.crc32(payload[-32:]), len(kept), hashlib.sha256(kept).hexdigest(), plain_feature(payload), 1, name, 6,
+            "text,media,text,media,text,media", f"{name}={sha};none of {name}=-;again={sha}",
+        ] += 1
+    assert Counter(tuple(r) for r in found) == want
+    assert media.described(nothing).count() == 0
+
+
+def test_real_pages_keep_their_order(spark):
+    """On the pages table: media in the order of their tags, texts with all words of the page in order."""
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet").limit(60)
+    found = {r.page_id: r["items"] for r in media.interleave(pages, spark.createDataFrame([(None,)], "payload binary")).collect()}
+    for r in pages.collect():
+        items = found[r.page_id]
+        assert [i.position for i in items] == list(range(len(items)))
+        bare = re.sub(r"(?is)<(script|style|template|noscript|title)\b.*?</\1\s*>|<!--.*?-->", " ", r.html or "")
+        assert [i.src for i in items if i.kind == "media"] == [html.unescape(x) for x in re.findall(r"""(?is)<(?:img|video|audio|source|embed)\b[^>]*?src=["']?([^"'> ]*)""", bare)]
+        words = lambda t: Counter(re.findall(r"\w+", t))
+        told = " ".join(i.text or i.caption or "" for i in items)
+        assert not words(html.unescape(re.sub(r"(?s)<[^>]*>", " ", bare))) - words(told) or "<fig" in bare
+
+
 def test_no_piece_is_too_long_for_the_lattice():
     pieces, scores = vocabulary_pieces(vocabulary("piece_bpe_32k.model"))
     word = " университе".encode()
@@ -210,8 +284,8 @@ def test_no_caption_or_text_is_lost():
 
 
 def test_each_page_row_has_its_own_sequence(spark):
-    html = "<p>a</p><img src=x alt=one><p>b</p><figure><img src=y><figcaption>two</figcaption></figure>"
-    pages = spark.createDataFrame([(1, html), (1, html), (None, "<p>c</p>"), (None, html), (None, None)], "page_id long, html string").repartition(3)
+    source = "<p>a</p><img src=x alt=one><p>b</p><figure><img src=y><figcaption>two</figcaption></figure>"
+    pages = spark.createDataFrame([(1, source), (1, source), (None, "<p>c</p>"), (None, source), (None, None)], "page_id long, html string").repartition(3)
     found = media.interleave(pages, spark.createDataFrame([(None,)], "payload binary")).collect()
     one = [(0, "a", None), (1, None, "one"), (2, "b", None), (3, None, "two")]
     got = sorted(((r.page_id, [(i.position, i.text, i.caption) for i in r["items"]]) for r in found), key=repr)
@@ -221,8 +295,8 @@ def test_each_page_row_has_its_own_sequence(spark):
 def test_interleaved_pages_resolve_by_digest(spark):
     payload = b"picture"
     digest = hashlib.sha256(media.padded(payload)).hexdigest()
-    html = f"<p>a</p><img data-digest='{digest}' alt=first><p>b</p><img src=missing.png alt=second>"
-    pages = spark.createDataFrame([(1, html), (2, None), (1, html)], "page_id long, html string")
+    source = f"<p>a</p><img data-digest='{digest}' alt=first><p>b</p><img src=missing.png alt=second>"
+    pages = spark.createDataFrame([(1, source), (2, None), (1, source)], "page_id long, html string")
     found = media.interleave(pages, spark.createDataFrame([(bytearray(payload),), (None,)], "payload binary")).collect()
     ones = [r for r in found if r.page_id == 1]
     assert len(ones) == 2  # the page is there twice, each row with its own sequence
@@ -271,6 +345,36 @@ def test_mixing(docs, nothing, spark):
     assert mixing.mix(nothing).count() == 0
 
 
+def test_copies_follow_the_prefix_sums(docs, spark):
+    """A plain walk: prefix sums of the expected copies from one offset, a copy for each integer crossed, the offset the best of the draws."""
+    big = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "source")
+    for df in (docs, big):
+        rows = mixing.copies(mixing.sized(df, F.lit(0))).collect()
+        order = sorted(mixing.sized(df, F.lit(0)).collect(), key=lambda r: (r.source is not None, r.source or "", r.size, r.doc_id, r.tie is not None, r.tie or 0))
+        target = {r.source: (r.target, r.source_size) for r in rows}
+        want = Counter()
+        for source in target:
+            mine = [r for r in order if r.source == source]
+            seed = spark.range(1).select(F.pmod(F.xxhash64(F.lit(mixing.SEED), F.lit("\0null" if source is None else source)), F.lit(1 << 30))).first()[0] / (1 << 30)
+            ratio = target[source][0] / target[source][1] if target[source][1] else 0.0
+            draws = []
+            for j in range(mixing.DRAWS):
+                offset = (seed + j * mixing.GOLDEN) % 1.0
+                taken = [math.floor(offset + ratio * (k + 1)) - math.floor(offset + ratio * k) for k in range(len(mine))]
+                draws.append((abs(sum(n * r.size for n, r in zip(taken, mine, strict=True)) - target[source][0]), j, taken))
+            for n, r in zip(min(draws)[2], mine, strict=True):
+                want[source, r.doc_id, r.size, n] += 1
+        assert Counter((r.source, r.doc_id, r.size, r.copies) for r in rows) == want
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, docs, nothing, tmp_path):
     import corpus_pipeline
 

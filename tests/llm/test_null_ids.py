@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_dedup import plain_components
-from tickforge.llm import op01_token_files, op02_quality, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
+from tickforge.llm import op01_token_files, op02_quality, op03_media, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
 
 
 @pytest.fixture(scope="module")
@@ -20,6 +20,7 @@ def test_every_operator_keeps_the_rows(holes, spark):
     assert op01_token_files.read_ids(op01_token_files.write_ids(holes)).count() == 5
     labels = spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, quality int")
     assert op02_quality.score(holes, op02_quality.fit(holes, labels), F.col("doc_id")).count() == 5
+    assert op03_media.described(holes).count() == 5
     assert op04_winnowing.compared(holes).count() == 5
     assert op05_simhash.near_duplicates(holes).count() == 5
     assert op06_line_dedup.dedup(holes).count() == 5

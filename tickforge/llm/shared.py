@@ -12,7 +12,6 @@ from pyspark.sql.window import Window
 
 #: ASCII white space, the only separator of words in the corpus contracts.
 SPACE = r"[\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,11 +28,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_owned: set[str] = set()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read again: lost executors then cost no recomputation of it."""
-    path = f"{shared_folder(df.sparkSession)}/tickforge/{name}-{uuid.uuid4().hex}"
+    """``df`` written once to the shared folder and read again: lost executors then cost no recomputation of it.
+
+    All such tables of an application are in one folder that bears its id and that the driver deletes when it ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/tickforge-{spark.sparkContext.applicationId}"
+    if folder not in _owned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _owned.add(folder)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:
@@ -58,20 +71,3 @@ def ordered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     in_order = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     idx = F.monotonically_increasing_id()
     return stored(in_order.select("*", F.spark_partition_id().alias("shard"), idx.alias("idx")), name)
-
-
-def ranked(df: DataFrame, group: list[str], keys: list[str], name: str) -> DataFrame:
-    """Adds ``rank`` (from 0) of each row in its group by ``keys``, with no group in one task.
-
-    Rows are put in the order of group and keys; what a task counts itself is its rows of a group, and the
-    earlier tasks' counts, a row per task and group, are summed beside it.
-    """
-    rows = ordered(df, group + keys, name)
-    same = lambda a, b: F.col(f"l.{a}").eqNullSafe(F.col(f"r.{b}"))
-    counts = rows.groupBy("shard", *group).agg(F.count("*").alias("__n"), F.min("idx").alias("__first"))
-    based = running_base(counts, group, ["shard"], "__n", "__base")
-    on = F.col("l.shard") == F.col("r.shard")
-    for g in group:
-        on = on & same(g, g)
-    rank = (F.col("l.idx") - F.col("r.__first") + F.col("r.__base")).alias("rank")
-    return rows.alias("l").join(based.alias("r"), on).select(*[F.col(f"l.{c}") for c in df.columns], rank)
