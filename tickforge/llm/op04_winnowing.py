@@ -10,7 +10,7 @@ kept with its position. So any 12 units that two texts share give a common selec
 of fewer than 5 units is reported. Hashes have 61 bits: the lowest three of 64 make room for the place in the window.
 
 The next document of each comes by a window over ranges of doc_ids, each with the first row of the range after it.
-There are at most ``RANGES`` ranges, whose bounds, two numbers each, are all that the driver gets.
+There are about ``RANGES`` ranges at most, whose bounds, two numbers each, are all that the driver gets.
 
 Defined cases: null text is empty; a text of fewer than 5 units is one gram, of none has an empty selection (alike, 1.0,
 to another empty one only); equal doc_ids follow by the hash of their text, then by text, rows without id come first;
@@ -33,7 +33,7 @@ GRAM, WINDOW, TURN = 5, 8, 13
 #: Letters of scripts with spaces (Latin to Sinhala, Georgian to Philippine, Mongolian to Greek), in lower case.
 LETTER = r"[a-z\x{C0}-\x{DFF}\x{10A0}-\x{177F}\x{1800}-\x{1FFF}]"
 UNIT = rf"{LETTER}{{1,24}}+(?!{LETTER})[!-`{{-~]?|\S"
-#: Rows of a range of doc_ids, within which the next document is found, and ranges at most.
+#: Rows of a range of doc_ids, within which the next document is found, and ranges at most, both on average.
 RANGE_ROWS, RANGES = 1000, 65_536
 
 
@@ -47,7 +47,7 @@ def _after(c: str, n: int) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the winnowed selection of a text column: structs (position in units from 0, hash), in order of position.
+    """Adds the winnowed selection of a text column: a struct of positions (in units, from 0) and hashes, two arrays in order.
 
     Each step is a column of its own and is read twice in the next, so that no step is evaluated anew for each element.
     """
@@ -71,31 +71,34 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     at = lambda v, j: j + (F.lit(WINDOW - 1) - v.bitwiseAND(F.lit(WINDOW - 1).cast("long"))).cast("int")
     # a window that chooses what the one before it chose has it one place further left
     chosen = F.transform(F.slice(w8, F.lit(1), windows), lambda v, j: F.when((j > 0) & (v == F.get(F.col(w8), j - 1) + 1), F.lit(None)).otherwise(F.struct(at(v, j).alias("position"), F.shiftrightunsigned(v, 3).alias("hash"))))
-    return df.withColumn(out, F.array_compact(chosen)).drop(*steps)
+    df = df.withColumn(gram, F.array_compact(chosen))
+    return df.withColumn(out, F.struct(F.col(gram).getField("position").alias("positions"), F.col(gram).getField("hash").alias("hashes"))).drop(*steps)
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Jaccard likeness of the hashes of two selections; two empty ones are alike."""
-    left, right = a.getField("hash"), b.getField("hash")
-    every = F.size(F.array_union(left, right))
-    return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(left, right)) / every)
+    every = F.size(F.array_union(a, b))
+    return F.when(every == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / every)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the selection of every text, as positions and hashes."""
-    return with_fingerprint(texts(docs), "text", "selected").select("doc_id", "selected")
+    """doc_id, positions and hashes of the selection of every text."""
+    return with_fingerprint(texts(docs), "text", "__f").select("doc_id", "__f.*")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Rows of doc_id, text and its hash, in ranges, ready for ``lead``: adds range, guest.
 
-    The first row of each range is also a guest at the end of the range before. Bounds are found by Spark's own range
-    partitioning of ids and hashes; equal ids, or none, spread over ranges by hash.
+    The first row of each range is also a guest at the end of the range before. Ranges begin at the least row and at
+    those whose own hash is a multiple of the rows wanted in a range, so that reruns cut alike; equal ids, or none,
+    spread over ranges by the hash of their text.
     """
     rows = texts(docs).withColumns({"doc_id": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
-    n = max(1, min(RANGES, math.ceil(rows.count() / RANGE_ROWS)))
-    ids = rows.select("doc_id", "h").repartitionByRange(n, "doc_id", "h")
-    lows = sorted(tuple(r.low) for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("doc_id", "h")).alias("low")).collect())
+    ids = rows.select("doc_id", "h")
+    n, least = ids.agg(F.count("*"), F.min(F.struct("doc_id", "h"))).first()
+    each = max(RANGE_ROWS, math.ceil(n / RANGES))
+    cuts = ids.filter(F.pmod(F.xxhash64("doc_id", "h"), F.lit(each)) == 0).distinct().collect()
+    lows = sorted({tuple(r) for r in cuts} | ({tuple(least)} if least else set()))
     width = max(1, math.isqrt(len(lows)))
     blocks = [lows[i : i + width] for i in range(0, len(lows), width)] or [[(0, 0)]]
     me = F.struct("doc_id", "h")
@@ -119,7 +122,7 @@ def compared(docs: DataFrame) -> DataFrame:
     """Per document: its selection, that of its edited text, and how alike they and the next document's are."""
     order = Window.partitionBy("range").orderBy("guest", "doc_id", "h", "text")
     rows = with_fingerprint(with_next(docs), "text", "fp")
-    rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_fp": F.lead("fp").over(order)}).filter("not guest")
+    rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_hashes": F.lead("fp.hashes").over(order)}).filter("not guest")
     chars = F.length("text")
     half = F.floor(chars / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), chars - half), F.substring("next_text", F.lit(1), half))
@@ -127,19 +130,19 @@ def compared(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     rows = with_fingerprint(rows, "edited", "edited_fp")
     doc_id = F.when(F.col("doc_id") != -(2**63), F.col("doc_id")).alias("doc_id")
-    return rows.select(doc_id, "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))
+    return rows.select(doc_id, "n_chars", "edited_sha256", "fp", "edited_fp", likeness(F.col("fp.hashes"), F.col("edited_fp.hashes")).alias("near_edited"), likeness(F.col("fp.hashes"), F.col("next_hashes")).alias("near_next"))
 
 
 def shown(selected: Column) -> Column:
     """A selection as text: position:hash (hexadecimal), with commas between."""
-    return F.array_join(F.transform(selected, lambda s: F.concat_ws(":", s.position, F.hex(s.hash))), ",")
+    return F.array_join(F.zip_with(selected.positions, selected.hashes, lambda p, h: F.concat_ws(":", p, F.hex(h))), ",")
 
 
 def shown_comparison(docs: DataFrame) -> DataFrame:
     """``compared`` with selections as text."""
     return compared(docs).select(
         "doc_id", "n_chars", "edited_sha256", shown(F.col("fp")).alias("fingerprint"), shown(F.col("edited_fp")).alias("edited_fingerprint"),
-        "near_edited", "near_next", F.size("fp").cast("long").alias("n_selected"),
+        "near_edited", "near_next", F.size("fp.hashes").cast("long").alias("n_selected"),
     )
 
 
