@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
@@ -56,3 +57,37 @@ def test_message_path_falls_back(spark, tmp_path):
     (tmp_path / "BTCUSDT.csv").write_text("")
     assert tables.message_path(spark, str(tmp_path), "BTC/USDT").endswith("/BTCUSDT.csv")
     assert tables.message_path(spark, str(tmp_path), "ETH/USDT").endswith("/test_data.csv")
+
+
+def test_csv_lines_are_numbered_over_files_and_splits(spark, tmp_path):
+    rows = [(i, "X", 100 + i, 1, i, i % 2, 50 + i, 3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "seq long, symbol string, timestamp long, type int, order_id long, side int, price long, qty long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        tables.write_messages_csv(df.repartition(5), str(tmp_path / "m"))
+        assert len(list((tmp_path / "m").glob("part-*"))) > 1
+        good, bad = tables.read_messages_csv(spark, str(tmp_path / "m"), "X")
+        assert spark.read.text(str(tmp_path / "m")).rdd.getNumPartitions() > 4
+        assert sorted((r.seq, r.order_id) for r in good.collect()) == [(i, i) for i in range(1, 2000)] and bad.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "blank.csv").write_text("h\n1,1,1,0,5,5\n\n3,1,2,0,5,5\n")
+    good, bad = tables.read_messages_csv(spark, str(tmp_path / "blank.csv"), "X")
+    assert (good.count(), bad.count()) == (2, 0)
+
+
+def test_late_rows_are_dropped_once_their_window_is_closed(spark):
+    from tickforge.plans import catalog
+
+    for scale in ("sf0.001", "sf0.01"):
+        folder = f"/root/testdata/{scale}"
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+        want = con.execute(catalog.ORACLE["stream_windows"]).fetchall()
+        got = catalog.QUERIES["stream_windows"](spark, folder).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        closed = max(r.start for r in got) + 21600
+        came = con.execute(f"SELECT count(*) FROM events WHERE epoch_us(ts) // 1000000 < {closed}").fetchall()[0][0]
+        assert 0 < sum(r.n for r in got) < came

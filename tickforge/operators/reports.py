@@ -58,10 +58,22 @@ def engine_status(steps: DataFrame) -> DataFrame:
 
 
 def snapshot(steps: DataFrame, points: int = 500, shown: int = 50) -> DataFrame:
-    """What a new subscriber gets, by symbol: the last chart points and executions, in order of time."""
-    chart = newest(steps, ["symbol"], ["seq"], points).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("seq", F.round("net_worth", 2).alias("net_worth")))).alias("chart"))
-    recent = newest(executions(steps), ["symbol"], ["seq"], shown).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("seq", "side", "price", "size", "realized_pnl"))).alias("executions"))
-    return engine_status(steps).join(chart, "symbol", "left").join(recent, "symbol", "left")
+    """What a new subscriber gets, by symbol: status, the last chart points and executions, in order of time.
+
+    One pass over the steps, which are a fold and not to be run for each part.
+    """
+    back = Window.partitionBy("symbol").orderBy(F.desc("seq"))
+    filled = F.col("side").isNotNull()
+    ranked = steps.withColumns({"__nth": F.row_number().over(back), "__fill": F.count_if(filled).over(back.rowsBetween(Window.unboundedPreceding, 0))})
+    point, fill = F.col("__nth") <= points, filled & (F.col("__fill") <= shown)
+    pnl = F.when(F.col("side") == "SELL", F.round("step_pnl", 2)).otherwise(0.0).alias("realized_pnl")
+    execution = F.struct("seq", "side", F.round("fill_price", 2).alias("price"), F.round("size", 4).alias("size"), pnl)
+    status = F.struct("seq", "mid", "inventory", "net_worth", "is_quoting", F.when(F.col("terminated"), "OFFLINE").otherwise("LIVE").alias("status"))
+    in_order = lambda c, when: F.array_sort(F.collect_list(F.when(when, c)))
+    found = ranked.filter(point | fill).groupBy("symbol").agg(
+        F.max_by(status, "seq").alias("s"), in_order(F.struct("seq", F.round("net_worth", 2).alias("net_worth")), point).alias("chart"), in_order(execution, fill).alias("executions"),
+    )
+    return found.select("symbol", "s.*", "chart", F.when(F.size("executions") > 0, F.col("executions")).alias("executions"))
 
 
 def latest_model(registry: DataFrame) -> DataFrame:

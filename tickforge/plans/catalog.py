@@ -44,6 +44,14 @@ def scan_messages(spark, d):
     return t.messages(spark, d)
 
 
+@query("csv_messages", f"WITH {sql.MESSAGES} SELECT seq - 1 AS seq, symbol, timestamp, type, order_id, side, price, qty FROM messages WHERE symbol = 'R' AND seq > 1")
+def csv_messages(spark, d):
+    """One symbol's messages written as CSV and read back; the first line is skipped, lines count from 0."""
+    path = f"{live.folder(spark)}/R.csv"
+    t.write_messages_csv(t.messages(spark, d).filter("symbol = 'R'"), path)
+    return t.read_messages_csv(spark, path, "R")[0]
+
+
 @query("message_type_counts", f"WITH {sql.MESSAGES} SELECT symbol, type, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM messages GROUP BY symbol, type")
 def message_type_counts(spark, d):
     return t.messages(spark, d).groupBy("symbol", "type").agg(F.count("*").alias("n"), F.sum("qty").alias("qty"))
@@ -301,8 +309,13 @@ def steps(spark, d, **parameters) -> DataFrame:
 
 
 def _out(spark, d):
-    """Quotes are out on every hour of eight."""
-    return folds.simulate(t.ticks(spark, d), F.floor(F.col("ts_ms") / 3_600_000) % 8 != 0)
+    """Quotes are out in every eighth hour: toggles at its start and end, held until the next, steer the quoter."""
+    ticks, hour = t.ticks(spark, d), 3_600_000
+    spans = ticks.groupBy("symbol").agg(F.floor(F.min("ts_ms") / (8 * hour)).alias("first"), F.floor(F.max("ts_ms") / (8 * hour)).alias("last"))
+    offs = spans.select("symbol", F.explode(F.sequence("first", "last")).alias("nth")).withColumn("off", F.col("nth") * 8 * hour)
+    toggle = lambda at, on: F.struct(at.alias("at_ms"), F.lit(on).alias("is_quoting"))
+    control = offs.select("symbol", F.inline(F.array(toggle(F.col("off"), False), toggle(F.col("off") + hour, True))))
+    return folds.simulate(series.controlled(ticks, control), F.col("is_quoting"))
 
 
 SIM_COLUMNS = ("symbol", "seq", "is_quoting", *("bid", "ask", "cash", "inventory", "net_worth"))
@@ -483,3 +496,25 @@ def stream_mm(spark, d):
 def stream_telemetry(spark, d):
     sent = live.run_to_table(live.telemetry(live.quote(_live_ticks(spark, d))))
     return sent.withColumn("executions", F.size("latest_executions")).drop("latest_executions")
+
+
+#: Late ticks: every tenth two hours, every 97th twelve days; six micro-batches in the order of arrival.
+_ARRIVED = f"""{sql.TICKS}, late AS (SELECT *, ts_ms + CASE WHEN seq % 97 = 0 THEN 1036800000 WHEN seq % 10 = 0 THEN 7200000 ELSE 0 END AS arrival FROM ticks),
+dealt AS (SELECT *, (arrival - min(arrival) OVER ()) * 6 // (max(arrival) OVER () - min(arrival) OVER () + 1) AS batch FROM late),
+newest AS (SELECT b.batch, max(d.ts_ms) - 10800000 AS mark FROM (SELECT unnest(range(8)) AS batch) b JOIN dealt d ON d.batch < b.batch GROUP BY b.batch)"""
+
+
+@query("stream_windows", f"""WITH {_ARRIVED}
+SELECT symbol, start, count(*) AS n, CAST(sum(lots) AS BIGINT) AS lots FROM (SELECT *, ts_ms // 21600000 * 21600 AS start FROM dealt) d
+LEFT JOIN newest m ON m.batch = d.batch - 1
+WHERE (m.mark IS NULL OR (start + 21600) * 1000 > m.mark // 1) AND (start + 21600) * 1000 <= (SELECT mark FROM newest WHERE batch = 7) GROUP BY symbol, start""")
+def stream_windows(spark, d):
+    """Windows over a stream with late ticks: what comes within the delay counts, what comes after its window does not.
+
+    A row is held against the watermark of the batch before its own; the last windows stay open.
+    """
+    ticks = t.ticks(spark, d)
+    late = F.when(F.col("seq") % 97 == 0, 1_036_800_000).when(F.col("seq") % 10 == 0, 7_200_000).otherwise(0)
+    least, most = ticks.select((F.col("ts_ms") + late).alias("a")).agg(F.min("a"), F.max("a")).first()
+    batch = F.floor((F.col("ts_ms") + late - least) * 6 / (most - least + 1))
+    return live.run_to_table(live.windowed(live.arrivals(ticks, batch, 6)))

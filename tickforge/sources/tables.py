@@ -29,22 +29,34 @@ def message_path(spark: SparkSession, folder: str, symbol: str, fallback: str =
     return f"{folder}/{clean}.csv" if found else f"{folder}/{fallback}"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and seq, the number of each line from 0, over the files in the order of their names.
+
+    Lines are numbered in the task that reads them; the lines of earlier splits, a row a split, are summed beside it.
+    """
+    place = ["__file", "__start"]
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().alias("__id"))
+    splits = lines.groupBy(*place).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1))
+    based = splits.select(*place, "__first", F.coalesce(before, F.lit(0)).alias("__base"))
+    return lines.join(based, place).select((F.col("__id") - F.col("__first") + F.col("__base")).alias("seq"), "value")
+
+
 def read_messages_csv(spark: SparkSession, path: str, symbol: str, skip_first_row: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Six integers a line without header: the messages in file order, and the rejected lines.
+    """Six integers a line without header: the messages in file order, and the rejected lines. Blank lines are neither.
 
-    The first data line is skipped as the reference loader does, unless told otherwise. File order is the file's own, so
-    the lines are numbered in one task.
+    The first line is skipped as the reference loader does, unless told otherwise.
     """
-    lines = spark.read.text(path).coalesce(1).withColumn("seq", F.monotonically_increasing_id()).filter(F.col("seq") >= (1 if skip_first_row else 0))
+    lines = numbered_lines(spark, path).filter((F.col("seq") >= (1 if skip_first_row else 0)) & (F.trim("value") != ""))
     read = lines.select("seq", "value", F.from_csv("value", MESSAGE, {"mode": "PERMISSIVE"}).alias("m"))
     good = F.col("m._corrupt_record").isNull()
     return read.filter(good).select("seq", F.lit(symbol).alias("symbol"), "m.*").drop("_corrupt_record"), read.filter(~good).select("seq", "value")
 
 
-def write_messages_csv(messages: DataFrame, path: str) -> None:
-    """The six integers a line, no header, in the order of seq, one file."""
+def write_messages_csv(messages: DataFrame, path: str, one_file: bool = False) -> None:
+    """The six integers a line, no header, in the order of seq: in files whose names follow that order, or in one."""
     rows = messages.orderBy("seq").select("timestamp", "type", "order_id", "side", "price", "qty")
-    rows.coalesce(1).write.csv(path, header=False)
+    (rows.coalesce(1) if one_file else rows).write.csv(path, header=False)
 
 
 def read_trades_json(spark: SparkSession, path: str) -> DataFrame:

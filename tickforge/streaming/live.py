@@ -97,6 +97,21 @@ def late_safe(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return ticks.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
 
 
+def windowed(stream: DataFrame, width: str = "6 hours", delay: str = "3 hours") -> DataFrame:
+    """Ticks and lots by symbol and window of event time over a stream; a window is given once, when the watermark has
+    passed it, and rows that come after that are dropped."""
+    rows = late_safe(stream, delay).groupBy("symbol", F.window("at", width).alias("w")).agg(F.count("*").alias("n"), F.sum("lots").alias("lots"))
+    return rows.select("symbol", F.unix_seconds("w.start").alias("start"), "n", "lots")
+
+
+def arrivals(ticks: DataFrame, batch: F.Column, batches: int) -> DataFrame:
+    """``ticks`` as a stream of ``batches`` files in the order of ``batch``, a number from 0, one file a micro-batch."""
+    where = f"{folder(ticks.sparkSession)}/arrivals"
+    for k in range(batches):
+        ticks.filter(batch == k).coalesce(1).write.mode("append").parquet(where)
+    return ticks.sparkSession.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(where)
+
+
 def run_to_table(stream: DataFrame) -> DataFrame:
     """Runs a stream over all that is there into Parquet and reads it."""
     where = folder(stream.sparkSession)
