@@ -62,6 +62,85 @@ def test_keep_one(docs, nothing):
     assert simhash.keep_one(nothing).count() == 0
 
 
+def edited(words, draw, edits):
+    words = list(words)
+    for at in draw.sample(range(len(words)), edits):
+        words[at] = f"new{draw.randrange(10**6)}"
+    return " ".join(words)
+
+
+def likeness(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def plain_minima(text):
+    words = text.encode().lower().split()
+    shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    factors = [xxhash.xxh64_intdigest(str(j), seed=42) | 1 for j in range(256)]
+    return [(min((f * h % 2**64 for h in hashes), default=2**64 - 1) >> 17) & 255 for f in factors]
+
+
+def test_minima_by_definition():
+    for text in ("", "one", "a b c d e f g a b c d e", " ".join(f"w{i}" for i in range(1500))):
+        assert simhash.sketch(text).tolist() == plain_minima(text)
+
+
+def test_keep_one_of_similar_texts(spark, docs, nothing):
+    """Groups of edited copies, unlike texts of the same words, clashing and missing ids, against all pairs."""
+    draw = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for group in range(25):
+        base = draw.choices(vocabulary, k=draw.randrange(3, 500))
+        rows += [(draw.choice([None, *range(200)]), " ".join(base)), (draw.choice([None, *range(200)]), " ".join(draw.sample(base, len(base))))]
+        rows += [(draw.randrange(200), edited(base, draw, len(base) // 60 * copy)) for copy in range(draw.randrange(4))]
+    words = [[w for w in t.split()] for _, t in rows]
+    fps = []
+    for each in words:
+        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in each]
+        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    minima = [plain_minima(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = rows[i][1] == rows[j][1]
+            bits = sum((x ^ y) & 1 for x, y in zip(minima[i][:128], minima[j][:128], strict=True))
+            if same or ((fps[i] ^ fps[j]).bit_count() <= 4 and bits <= 18 and sum(x == y for x, y in zip(minima[i], minima[j], strict=True)) >= 200):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(f"{'none' if r[0] is None else r[0]}:{r[1]}".encode()).digest())
+    want = [min((r for r, x in zip(rows, root, strict=True) if x == one), key=key) for one in set(root)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), similar=True)
+    kept = [tuple(r) for r in kept.collect()]
+    assert sorted(kept, key=repr) == sorted(want, key=repr) and len(want) < len(rows)
+    assert not any(likeness(a[1], b[1]) >= 0.9 for i, a in enumerate(kept) for b in kept[:i])
+    for row in {r for r in rows if r not in kept}:
+        assert max(likeness(row[1], other[1]) for k, other in enumerate(rows) if k != rows.index(row)) >= 0.7
+    kept = simhash.keep_one(docs, similar=True)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 5, 6, 7, 9]
+    assert simhash.keep_one(nothing, similar=True).count() == 0
+
+
+def test_large_bucket_of_alike_texts_is_connected():
+    """From member to member over those not yet reached: the same components as all pairs, with fewer links than members."""
+    draw = random.Random(5)
+    groups = [draw.choices([f"w{i}" for i in range(300)], k=250) for _ in range(3)]
+    texts = [edited(draw.choice(groups), draw, draw.randrange(5)) for _ in range(150)]
+    sketches = np.array([simhash.coarse(simhash.sketch(t)) for t in texts]).view(np.uint64)
+    fps = np.array([simhash.fingerprint(t, 1) for t in texts], np.int64).view(np.uint64)
+    a, b = simhash.collide_alike(np.zeros(len(texts), np.int64), fps, sketches)
+    assert len(a) < len(texts) and all(simhash._alike(fps, sketches, i, np.array([j])).all() for i, j in zip(a, b, strict=True))
+    joined, plain = simhash._Joined(), simhash._Joined()
+    joined.new(a, b)
+    i, j = np.triu_indices(len(texts), 1)
+    true = simhash._alike(fps, sketches, i, j)
+    plain.new(i[true], j[true])
+    mine, want = [joined.root(k) for k in range(len(texts))], [plain.root(k) for k in range(len(texts))]
+    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want)) < len(texts)
+
+
 @pytest.mark.parametrize("paired", [10**9, 33])
 def test_dense_cluster_links_like_all_pairs(spark, monkeypatch, paired):
     """A cluster whose buckets are large: pairs and the linear star give the same components as all pairs."""

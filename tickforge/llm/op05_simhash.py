@@ -11,6 +11,17 @@ A bucket never yields all its pairs: links that only confirm what a task already
 bucket of over ``PAIRED`` members is linked by a second ball hashing over its left-out bits (see ``_star``), which
 is linear in its size and loses no connection. Components come from alternating large-star and small-star rounds.
 
+``keep_one(docs, similar=True)`` is for texts whose sets of five-word shingles are alike at 0.8 or more, which 3 bits over
+shingles seldom find (two such texts differ in some 9 of 64). It takes fingerprints of single words, of which such texts
+change few, within ``WIDE`` = 4 bits: of four differing bits the fullest part holds two, so the same variants suffice.
+As unlike texts may use the same words, colliding pairs are verified by minima of the five-word shingles' hashes, equal with
+the chance of the likeness. In the bucket one bit of each of ``COARSE`` minima is compared, of which ``MISSES`` may differ:
+a pair alike at 0.8 passes with a chance of 0.95, at 0.6 of 0.06. Links that pass are then verified by a byte of each of
+``MINIMA`` minima, ``MATCHES`` of which must agree: at 0.85 this passes with a chance of over 0.99, at 0.8 of 0.79, at 0.75 of 0.14, at
+0.7 of 0.003. A bucket of over 32 rows is searched from member to member over those not yet reached: that gives fewer links
+than members, and is linear for a group of alike texts; it takes up to all pairs, in one task, for unlike ones of like words.
+A link that the second check refuses can so hide one that it would pass, unless those two meet in another bucket.
+
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal doc_ids
 keep all their rows; an empty table gives no rows; other columns are not read.
 """
@@ -18,6 +29,7 @@ keep all their rows; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -31,27 +43,33 @@ from .shared import stored, texts
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: (first bit, bits) of the parts, one of which is left out in turn.
 PARTS = ((0, 22), (22, 21), (43, 21))
+#: Words in a shingle, and differing bits of the word fingerprints.
+LIKE_SHINGLE, WIDE = 5, 4
+#: Minima of the shingles' hashes and how many must agree; those compared by one bit and how many may differ.
+MINIMA, MATCHES, COARSE, MISSES = 256, 200, 128, 18
 #: Members of a bucket up to which its pairs are compared one by one.
 PAIRED = 1024
 #: Joined nodes that a task remembers; beyond, it starts anew and may send links twice.
 REMEMBERED = 500_000
 
 
-def shingle_hashes(text: str) -> np.ndarray:
+def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     """XXH64 of each shingle of the text's words, ASCII letters in lower case, repeats included."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if len(words) > SHINGLE:
-        shingles = map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))
+    if shingle == 1:
+        shingles = words
+    elif len(words) > shingle:
+        shingles = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     else:
         shingles = [b" ".join(words)] if words else []
     digest = xxhash.xxh64_intdigest
     return np.array([digest(s, SEED) for s in shingles], np.uint64)
 
 
-def fingerprint(text: str) -> int:
-    hashes = shingle_hashes(text)
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
@@ -71,6 +89,43 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     return rows.mapInArrow(take, ", ".join(["doc_id long, fp long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
 
 
+@cache
+def _factors() -> np.ndarray:
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(str(j), SEED) | 1 for j in range(MINIMA)], np.uint64)[:, None]
+
+
+def sketch(text: str) -> np.ndarray:
+    """One byte of the least product of each factor with the hashes of the text's five-word shingles."""
+    hashes = np.unique(shingle_hashes(text, LIKE_SHINGLE))
+    least = np.full(MINIMA, 2**64 - 1, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, (_factors() * hashes[None, at : at + 512]).min(1), out=least)
+    return (least >> np.uint64(17) & np.uint64(255)).astype(np.uint8)
+
+
+def coarse(minima: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first minima, as two numbers."""
+    return np.packbits(minima[:COARSE] & 1, bitorder="little").view(np.int64)
+
+
+def sketched(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, fp (of single words), s1, s2 (the coarse sketch), minima and the named columns of every whole text."""
+    rows = texts(docs, *more)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = batch.column(1).to_pylist()
+            fps = pa.array([fingerprint(t, 1) for t in whole], pa.int64())
+            minima = [sketch(t) for t in whole]
+            s = np.array([coarse(x) for x in minima], np.int64).reshape(-1, 2)
+            new = [fps, pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([x.tobytes() for x in minima], pa.binary())]
+            yield pa.record_batch([batch.column(0), *new, *batch.columns[2:]], names=["doc_id", "fp", "s1", "s2", "minima", *more])
+
+    return rows.mapInArrow(take, ", ".join(["doc_id long, fp long, s1 long, s2 long, minima binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
+
+
 def _masks() -> list[tuple[int, np.ndarray]]:
     """For each part: the bits kept when it is left out, and the flips (none, or one kept bit)."""
     out = []
@@ -81,7 +136,7 @@ def _masks() -> list[tuple[int, np.ndarray]]:
 
 
 def variants(fps: DataFrame) -> DataFrame:
-    """key, fp: each distinct fingerprint at all its meeting points. The key is the variant, tagged by its part."""
+    """key and the columns of fps (fp first): each row at all its meeting points. The key is the variant, tagged by its part."""
     masks = _masks()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,11 +147,12 @@ def variants(fps: DataFrame) -> DataFrame:
                 key = (((bits & np.uint64(kept))[None, :] ^ flips[:, None]) | np.uint64(part + 1 << PARTS[part][0])).ravel()
                 for at in range(0, len(key), 50_000):
                     owner = np.arange(at, min(at + 50_000, len(key))) % len(fp)
-                    yield pa.record_batch([pa.array(key[at : at + 50_000].view(np.int64)), pa.array(fp[owner])], names=["key", "fp"])
+                    owner = pa.array(owner)
+                    yield pa.record_batch([pa.array(key[at : at + 50_000].view(np.int64)), *(c.take(owner) for c in batch.columns)], names=["key", *batch.schema.names])
 
     # a fingerprint becomes 131 rows: dealt to all shuffle partitions first, so that no task writes a merged partition's
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return fps.select("fp").repartition(tasks, "fp").mapInArrow(emit, "key long, fp long")
+    return fps.repartition(tasks, *fps.columns).mapInArrow(emit, ", ".join(f"{c} long" for c in ["key", *fps.columns]))
 
 
 def _star(key: int, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -203,7 +259,80 @@ def links(fps: DataFrame) -> DataFrame:
         if len(rest[0]):
             yield out(*rest)
 
-    return variants(fps).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return variants(fps.select("fp")).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+
+
+def _alike(fps: np.ndarray, sketches: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+    missed = np.bitwise_count(sketches[i] ^ sketches[j]).sum(-1, dtype=np.int64)
+    return (np.bitwise_count(fps[i] ^ fps[j]) <= WIDE) & (missed <= MISSES)
+
+
+def collide_alike(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows (sorted by key) between which links are verified; they connect all alike rows that share a key."""
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    length = np.diff(np.concatenate([start, [len(keys)]]))
+    small = np.repeat(length <= 32, length)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for step in range(1, int(min(32, length.max(initial=0)))):
+        i = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
+        i = i[_alike(fps, sketches, i, i + step)]
+        found.append((i, i + step))
+    for at, n in zip(start[length > 32].tolist(), length[length > 32].tolist(), strict=True):
+        reached, left = [], np.arange(at, at + n)
+        while len(left):
+            if not reached:
+                reached, left = [int(left[0])], left[1:]
+            i = reached.pop()
+            near = _alike(fps, sketches, i, left)
+            found.append((np.full(int(near.sum()), i), left[near]))
+            reached += left[near].tolist()
+            left = left[~near]
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    return a, b
+
+
+def links_alike(rows: DataFrame) -> DataFrame:
+    """a1, a2, b1, b2: pairs of coarse sketches of rows (fp, s1, s2) that connect all alike rows of each bucket."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+
+        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
+            keys, fps, s1, s2 = columns
+            s = np.stack([s1, s2], 1)
+            i, j = collide_alike(keys, fps.view(np.uint64), s.view(np.uint64))
+            found = np.unique(np.concatenate([s[i], s[j]], 1), axis=0)
+            return pa.record_batch([pa.array(found[:, k]) for k in range(4)], names=["a1", "a2", "b1", "b2"])
+
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
+            if len(columns[0]):
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
+                rest = [c[cut:] for c in columns]
+                if cut:
+                    yield out([c[:cut] for c in columns])
+        if rest is not None:
+            yield out(rest)
+
+    met = variants(rows.select("fp", "s1", "s2")).repartition("key").sortWithinPartitions("key")
+    return met.mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long")
+
+
+def verified(links: DataFrame, minima: DataFrame) -> DataFrame:
+    """a, b (coarse sketches as structs): the links whose minima, given by node, agree in ``MATCHES`` places."""
+    each = links.select(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")).alias("x"), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")).alias("y"))
+    each = stored(each.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, MINIMA) for c in batch.columns[2:])
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= MATCHES))
+
+    for end in ("a", "b"):
+        each = each.join(minima.select(F.col("node").alias(end), F.col("minima").alias(f"minima_{end}")), end)
+    node = "struct<s1: long, s2: long>"
+    return each.select("a", "b", "minima_a", "minima_b").mapInArrow(check, f"a {node}, b {node}")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -249,17 +378,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return fps.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similar: bool = False) -> DataFrame:
     """One row of each component stays, whatever doc_ids its rows have: that of the smallest doc_id (rows without one
     last), then of the smallest digest of id and text; of rows that repeat both, the one whose columns come first in order.
 
-    The choice is made on ids, fingerprints and digests; whole rows are shuffled once, by digest.
+    Components are those of ``near_duplicates``, or, if similar, of texts alike at 0.8 over five-word shingles. The choice is made on ids, fingerprints and digests; whole rows are shuffled once, by digest.
     """
     named = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), F.coalesce("text", F.lit("")))
     rows = docs.withColumn("__key", F.unhex(F.sha2(named, 256)))
-    fps = stored(fingerprints(rows, "__key"), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
-    first = rooted(classes).groupBy("root").agg(F.min("first").alias("first")).select("first.__key")
+    fps = stored((sketched if similar else fingerprints)(rows, "__key"), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
+    if similar:
+        node = F.struct("s1", "s2").alias("node")
+        classes = fps.groupBy("fp", "s1", "s2").agg(least)
+        roots = components(verified(links_alike(classes), fps.groupBy(node).agg(F.min("minima").alias("minima"))))
+        found = classes.select("first", node).join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    else:
+        found = rooted(fps.groupBy("fp").agg(least))
+    first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.__key")
     others = [c for c in docs.columns if c not in ("doc_id", "text") and _orderable(docs.schema[c].dataType)]
     row = F.struct(*docs.columns)
     # repeated rows meet in their tasks before the shuffle, however many there are
