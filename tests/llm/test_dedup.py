@@ -74,17 +74,86 @@ def likeness(a, b):
     return len(a & b) / len(a | b)
 
 
-def plain_minima(text):
-    words = text.encode().lower().split()
-    shingles = {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
-    factors = [xxhash.xxh64_intdigest(str(j), seed=42) | 1 for j in range(256)]
-    return [(min((f * h % 2**64 for h in hashes), default=2**64 - 1) >> 17) & 255 for f in factors]
-
-
-def test_minima_by_definition():
-    for text in ("", "one", "a b c d e f g a b c d e", " ".join(f"w{i}" for i in range(1500))):
-        assert simhash.sketch(text).tolist() == plain_minima(text)
+FACTORS = [xxhash.xxh64_intdigest(str(j), seed=42) | 1 for j in range(8)]
+
+
+def plain_set(text, n):
+    words = [xxhash.xxh64_intdigest(w, seed=42) for w in text.encode().lower().split()]
+    n = min(n, len(words))
+    out = set()
+    for i in range(len(words) - n + 1 if n else 0):
+        h = sum(w * f for w, f in zip(words[i : i + n], FACTORS, strict=False)) % 2**64
+        h = (h ^ h >> 32) * FACTORS[5] % 2**64
+        out.add(h ^ h >> 29)
+    return out
+
+
+def plain_sketch(text):
+    shingles = plain_set(text, 5)
+    fp = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in shingles) > len(shingles))
+    return fp, sorted({h >> 32 for h in shingles})[:256]
+
+
+def plain_fields(text):
+    shingles = plain_set(text, 2)
+    tops = [[h * f % 2**64 >> 32 for h in shingles] for f in FACTORS[:7]]
+    return [sum(1 << b for b in range(28) if 2 * sum(t >> b & 1 for t in top) > len(top)) for top in tops]
+
+
+def plain_alike(x, y):
+    union = sorted({*x, *y})
+    if max(len(x), len(y)) < 256:
+        return len({*x} & {*y}) >= 0.8 * len(union)
+    return len({*x} & {*y} & {*union[:256]}) >= 200
+
+
+def test_sketches_by_definition():
+    for text in ("", "one", "One two", "a b c d e f g a b c d e", " ".join(f"w{i}" for i in range(1500)), "same " * 40000):
+        words = simhash.word_hashes(text)
+        fp, least = simhash.sketch(words)
+        assert (fp & (2**64 - 1), np.frombuffer(least, np.uint32).tolist()) == plain_sketch(text)
+        assert simhash.fields(words).tolist() == plain_fields(text)
+    assert simhash.alike(b"", b"") and not simhash.alike(b"", np.array([1], np.uint32).tobytes())
+
+
+@pytest.mark.parametrize("nearest", [4096, 10])
+def test_large_buckets_connect_all_that_is_near(monkeypatch, nearest):
+    """Of a bucket of many rows, and of two keys, the links connect what all pairs within the bits connect, with fewer links than rows."""
+    monkeypatch.setattr(simhash, "NEAREST", nearest)
+    draw = np.random.default_rng(5)
+    bases = draw.integers(0, 2**63, 30, dtype=np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, (300, 8), dtype=np.uint64), axis=1)
+    fps = np.concatenate([np.repeat(bases, 10) ^ flips, bases, bases])
+    keys = np.repeat([-7, 3], [len(fps), 3])
+    a, b = simhash.collide_alike(keys, np.concatenate([fps, fps[:3]]))
+    assert (np.bitwise_count(a ^ b) <= simhash.COARSE).all() and len(a) < len(fps) + 3
+    nodes = np.unique(fps).tolist()
+    parts = {x: x for x in nodes}
+
+    def join(x, y):
+        old, new = parts[x], parts[y]
+        parts.update({k: new for k, v in parts.items() if v == old})
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        join(x, y)
+    found = dict(parts)
+    for i, x in enumerate(nodes):
+        for y in nodes[:i]:
+            if (x ^ y).bit_count() <= simhash.COARSE:
+                assert found[x] == found[y]
+
+
+def test_a_bucket_spans_batches(spark):
+    """One key's rows come in several Arrow batches and are still one bucket."""
+    rows = [(key, key * 1000 + k) for key in (1, 2, 2**40) for k in range(25)]
+    frame = spark.createDataFrame(rows, "key long, fp long")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = simhash._met(frame, lambda joined, keys, fps: simhash._linked([int(k) for k in sorted({*keys.tolist()})], [int((keys == k).sum()) for k in sorted({*keys.tolist()})])).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == [(1, 25), (2, 25), (2**40, 25)]
 
 
 def test_keep_one_of_similar_texts(spark, docs, nothing):
@@ -96,18 +165,13 @@ def test_keep_one_of_similar_texts(spark, docs, nothing):
         base = draw.choices(vocabulary, k=draw.randrange(3, 500))
         rows += [(draw.choice([None, *range(200)]), " ".join(base)), (draw.choice([None, *range(200)]), " ".join(draw.sample(base, len(base))))]
         rows += [(draw.randrange(200), edited(base, draw, len(base) // 60 * copy)) for copy in range(draw.randrange(4))]
-    words = [[w for w in t.split()] for _, t in rows]
-    fps = []
-    for each in words:
-        hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in each]
-        fps.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
-    minima = [plain_minima(t) for _, t in rows]
+    sketches, fields = [plain_sketch(t) for _, t in rows], [plain_fields(t) for _, t in rows]
     root = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
-            same = rows[i][1] == rows[j][1]
-            bits = sum((x ^ y) & 1 for x, y in zip(minima[i][:128], minima[j][:128], strict=True))
-            if same or ((fps[i] ^ fps[j]).bit_count() <= 4 and bits <= 18 and sum(x == y for x, y in zip(minima[i], minima[j], strict=True)) >= 200):
+            (fp, least), (other, others) = sketches[i], sketches[j]
+            met = min((x ^ y).bit_count() for x, y in zip(fields[i], fields[j], strict=True)) <= 2
+            if fp == other or (met and (fp ^ other).bit_count() <= 15 and plain_alike(least, others)):
                 old, new = root[i], root[j]
                 root = [new if r == old else r for r in root]
     key = lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(f"{'none' if r[0] is None else r[0]}:{r[1]}".encode()).digest())
@@ -123,22 +187,23 @@ def test_keep_one_of_similar_texts(spark, docs, nothing):
     assert simhash.keep_one(nothing, similar=True).count() == 0
 
 
-def test_large_bucket_of_alike_texts_is_connected():
+def test_large_bucket_of_alike_texts_is_connected(monkeypatch):
     """From member to member over those not yet reached: the same components as all pairs, with fewer links than members."""
     draw = random.Random(5)
     groups = [draw.choices([f"w{i}" for i in range(300)], k=250) for _ in range(3)]
     texts = [edited(draw.choice(groups), draw, draw.randrange(5)) for _ in range(150)]
-    sketches = np.array([simhash.coarse(simhash.sketch(t)) for t in texts]).view(np.uint64)
-    fps = np.array([simhash.fingerprint(t, 1) for t in texts], np.int64).view(np.uint64)
-    a, b = simhash.collide_alike(np.zeros(len(texts), np.int64), fps, sketches)
-    assert len(a) < len(texts) and all(simhash._alike(fps, sketches, i, np.array([j])).all() for i, j in zip(a, b, strict=True))
-    joined, plain = simhash._Joined(), simhash._Joined()
-    joined.new(a, b)
-    i, j = np.triu_indices(len(texts), 1)
-    true = simhash._alike(fps, sketches, i, j)
-    plain.new(i[true], j[true])
-    mine, want = [joined.root(k) for k in range(len(texts))], [plain.root(k) for k in range(len(texts))]
-    assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want)) < len(texts)
+    fps = np.array([simhash.sketch(simhash.word_hashes(t))[0] for t in texts], np.int64).view(np.uint64)
+    for nearest in (4096, 10):
+        monkeypatch.setattr(simhash, "NEAREST", nearest)
+        a, b = simhash.collide_alike(np.zeros(len(texts), np.int64), fps)
+        assert len(a) < len(texts) and (np.bitwise_count(a ^ b) <= simhash.COARSE).all()
+        joined, plain = simhash._Joined(), simhash._Joined()
+        joined.new(a, b)
+        i, j = np.triu_indices(len(texts), 1)
+        true = np.bitwise_count(fps[i] ^ fps[j]) <= simhash.COARSE
+        plain.new(fps[i][true], fps[j][true])
+        mine, want = [joined.root(k) for k in fps.tolist()], [plain.root(k) for k in fps.tolist()]
+        assert len(set(zip(mine, want, strict=True))) == len(set(mine)) == len(set(want)) < len(texts)
 
 
 @pytest.mark.parametrize("paired", [10**9, 33])

@@ -11,16 +11,17 @@ A bucket never yields all its pairs: links that only confirm what a task already
 bucket of over ``PAIRED`` members is linked by a second ball hashing over its left-out bits (see ``_star``), which
 is linear in its size and loses no connection. Components come from alternating large-star and small-star rounds.
 
-``keep_one(docs, similar=True)`` is for texts whose sets of five-word shingles are alike at 0.8 or more, which 3 bits over
-shingles seldom find (two such texts differ in some 9 of 64). It takes fingerprints of single words, of which such texts
-change few, within ``WIDE`` = 4 bits: of four differing bits the fullest part holds two, so the same variants suffice.
-As unlike texts may use the same words, colliding pairs are verified by minima of the five-word shingles' hashes, equal with
-the chance of the likeness. In the bucket one bit of each of ``COARSE`` minima is compared, of which ``MISSES`` may differ:
-a pair alike at 0.8 passes with a chance of 0.95, at 0.6 of 0.06. Links that pass are then verified by a byte of each of
-``MINIMA`` minima, ``MATCHES`` of which must agree: at 0.85 this passes with a chance of over 0.99, at 0.8 of 0.79, at 0.75 of 0.14, at
-0.7 of 0.003. A bucket of over 32 rows is searched from member to member over those not yet reached: that gives fewer links
-than members, and is linear for a group of alike texts; it takes up to all pairs, in one task, for unlike ones of like words.
-A link that the second check refuses can so hide one that it would pass, unless those two meet in another bucket.
+``keep_one(docs, similar=True)`` is for texts whose sets of five-word shingles are alike at 0.8 or more, which 3 of 64 bits
+seldom find: two such texts differ in some 10 of 64. There the balls are over a SimHash of the set of two-word shingles, of
+which an edit changes fewer, with ``FIELDS`` fields of ``FIELD`` bits: every text emits each field and all its variants with
+one bit flipped (203 in all), and two texts meet where a field of theirs differs in at most two bits. With one of eleven bits
+differing (words replaced, likeness 0.8) the chance is over 0.99, with 0.15 (a fifth appended, the worst case) 0.79, at 0.85
+0.92. Rows that meet are compared by their SimHash of the set of five-word shingles, of which ``COARSE`` bits may differ: at 0.8
+this passes with a chance of 0.97. What passes is verified by the least ``BOTTOM`` hashes of both sets, exactly where
+the sets are no larger, else as an estimate that must reach ``LIKE_BOTTOM``.
+A bucket of up to 32 rows yields all its pairs that pass, a larger one a tree of the nearest of them, over ``NEAREST`` rows a tree of
+any of them, so never more links than rows. A link of such a tree that the verification refuses can hide one
+that it would pass, unless those two meet in another bucket.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal doc_ids
 keep all their rows; an empty table gives no rows; other columns are not read.
@@ -28,7 +29,7 @@ keep all their rows; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import cache
 from itertools import combinations
 
@@ -43,10 +44,14 @@ from .shared import stored, texts
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: (first bit, bits) of the parts, one of which is left out in turn.
 PARTS = ((0, 22), (22, 21), (43, 21))
-#: Words in a shingle, and differing bits of the word fingerprints.
-LIKE_SHINGLE, WIDE = 5, 4
-#: Minima of the shingles' hashes and how many must agree; those compared by one bit and how many may differ.
-MINIMA, MATCHES, COARSE, MISSES = 256, 200, 128, 18
+#: Words in a shingle of texts that are alike, and how alike their sets are.
+LIKE_SHINGLE, LIKE = 5, 0.8
+#: Words in a shingle, fields and bits a field of the fingerprint by which such texts meet.
+MEET_SHINGLE, FIELDS, FIELD = 2, 7, 28
+#: Differing bits, of 64, of the shingles' fingerprints; least hashes kept, and the share that must agree where these are not all.
+COARSE, BOTTOM, LIKE_BOTTOM = 15, 256, 200 / 256
+#: Members of a bucket up to which each is linked to its nearest.
+NEAREST = 4096
 #: Members of a bucket up to which its pairs are compared one by one.
 PAIRED = 1024
 #: Joined nodes that a task remembers; beyond, it starts anew and may send links twice.
@@ -68,13 +73,21 @@ def shingle_hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.array([digest(s, SEED) for s in shingles], np.uint64)
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    hashes = shingle_hashes(text, shingle)
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each of the 64 bits whether it is set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)]
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little", signed=True)
+        ones += np.unpackbits(part.view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.uint16)
+    return 2 * ones > len(hashes)
+
+
+def _packed(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little", signed=True)
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    return _packed(majority(shingle_hashes(text, shingle)))
 
 
 def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
@@ -93,37 +106,70 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
 def _factors() -> np.ndarray:
     import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(str(j), SEED) | 1 for j in range(MINIMA)], np.uint64)[:, None]
+    return np.array([xxhash.xxh64_intdigest(str(j), SEED) | 1 for j in range(8)], np.uint64)
+
+
+def word_hashes(text: str) -> np.ndarray:
+    return shingle_hashes(text, 1)
+
+
+def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
+    """A hash of each different shingle, ascending, from the hashes of a text's words; of the whole sequence if that is shorter."""
+    n = min(shingle, len(words))
+    if not n:
+        return words
+    hashes = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        hashes += words[k : len(words) - n + 1 + k] * _factors()[k]
+    hashes ^= hashes >> np.uint64(32)
+    hashes *= _factors()[5]
+    hashes ^= hashes >> np.uint64(29)
+    return np.unique(hashes)
 
 
-def sketch(text: str) -> np.ndarray:
-    """One byte of the least product of each factor with the hashes of the text's five-word shingles."""
-    hashes = np.unique(shingle_hashes(text, LIKE_SHINGLE))
-    least = np.full(MINIMA, 2**64 - 1, np.uint64)
-    for at in range(0, len(hashes), 512):
-        np.minimum(least, (_factors() * hashes[None, at : at + 512]).min(1), out=least)
-    return (least >> np.uint64(17) & np.uint64(255)).astype(np.uint8)
+def fields(words: np.ndarray) -> np.ndarray:
+    """The fields of the SimHash over the set of two-word shingles of a text's words.
 
+    The upper halves of a hash's products with the factors give the bits: two fields from each pair of factors.
+    """
+    hashes, top, out = shingle_set(words, MEET_SHINGLE), np.uint64(32), []
+    for f, g in _factors().reshape(-1, 2):
+        both = _packed(majority((hashes * f >> top) | (hashes * g >> top << top)))
+        out += [both & (1 << FIELD) - 1, both >> 32 & (1 << FIELD) - 1]
+    return np.array(out[:FIELDS], np.int32)
+
+
+def sketch(words: np.ndarray) -> tuple[int, bytes]:
+    """SimHash and least hashes (their upper 32 bits) of the set of five-word shingles of a text's words."""
+    hashes = shingle_set(words, LIKE_SHINGLE)
+    return _packed(majority(hashes)), np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:BOTTOM].tobytes()
 
-def coarse(minima: np.ndarray) -> np.ndarray:
-    """The lowest bits of the first minima, as two numbers."""
-    return np.packbits(minima[:COARSE] & 1, bitorder="little").view(np.int64)
+
+def alike(x: bytes, y: bytes) -> bool:
+    """Whether two sketches' least hashes show sets that are alike."""
+    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+    shared, union = np.intersect1d(a, b, assume_unique=True), np.union1d(a, b)
+    if max(len(a), len(b)) < BOTTOM:
+        return len(shared) >= LIKE * len(union)
+    union = union[:BOTTOM]
+    return int((shared <= union[-1]).sum()) >= LIKE_BOTTOM * len(union)
 
 
 def sketched(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, fp (of single words), s1, s2 (the coarse sketch), minima and the named columns of every whole text."""
+    """doc_id, fp (over five-word shingles), least, fields and the named columns of every whole text."""
     rows = texts(docs, *more)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = batch.column(1).to_pylist()
-            fps = pa.array([fingerprint(t, 1) for t in whole], pa.int64())
-            minima = [sketch(t) for t in whole]
-            s = np.array([coarse(x) for x in minima], np.int64).reshape(-1, 2)
-            new = [fps, pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array([x.tobytes() for x in minima], pa.binary())]
-            yield pa.record_batch([batch.column(0), *new, *batch.columns[2:]], names=["doc_id", "fp", "s1", "s2", "minima", *more])
+            new = [[], [], []]
+            for text in batch.column(1):
+                words = word_hashes(text.as_py())
+                for column, value in zip(new, (*sketch(words), fields(words).tobytes()), strict=True):
+                    column.append(value)
+            new = [pa.array(c, t) for c, t in zip(new, (pa.int64(), pa.binary(), pa.binary()), strict=True)]
+            yield pa.record_batch([batch.column(0), *new, *batch.columns[2:]], names=["doc_id", "fp", "least", "fields", *more])
 
-    return rows.mapInArrow(take, ", ".join(["doc_id long, fp long, s1 long, s2 long, minima binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
+    return rows.mapInArrow(take, ", ".join(["doc_id long, fp long, least binary, fields binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
 
 
 def _masks() -> list[tuple[int, np.ndarray]]:
@@ -135,24 +181,44 @@ def _masks() -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """key and the columns of fps (fp first): each row at all its meeting points. The key is the variant, tagged by its part."""
-    masks = _masks()
+def _emitted(rows: DataFrame, keys: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """key, fp: each row (fp first) at all its meeting points, of which ``keys`` gives an array a row of a batch."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy()
-            bits = fp.view(np.uint64)
-            for part, (kept, flips) in enumerate(masks):
-                key = (((bits & np.uint64(kept))[None, :] ^ flips[:, None]) | np.uint64(part + 1 << PARTS[part][0])).ravel()
-                for at in range(0, len(key), 50_000):
-                    owner = np.arange(at, min(at + 50_000, len(key))) % len(fp)
-                    owner = pa.array(owner)
-                    yield pa.record_batch([pa.array(key[at : at + 50_000].view(np.int64)), *(c.take(owner) for c in batch.columns)], names=["key", *batch.schema.names])
+            for at in range(0, len(batch), 256):
+                part = batch.slice(at, 256)
+                key = keys(part)
+                fp = np.tile(part.column(0).to_numpy(), len(key) // max(1, len(part)))
+                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(fp)], names=["key", "fp"])
+
+    # a row becomes over a hundred: dealt to all shuffle partitions first, so that no task writes a merged partition's
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *rows.columns).mapInArrow(emit, "key long, fp long")
+
 
-    # a fingerprint becomes 131 rows: dealt to all shuffle partitions first, so that no task writes a merged partition's
-    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return fps.repartition(tasks, *fps.columns).mapInArrow(emit, ", ".join(f"{c} long" for c in ["key", *fps.columns]))
+def variants(fps: DataFrame) -> DataFrame:
+    """key and fp: each fingerprint at all its meeting points. The key is the variant, tagged by its part."""
+    masks = _masks()
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        bits = batch.column(0).to_numpy().view(np.uint64)
+        each = [((bits & np.uint64(kept))[None, :] ^ flips[:, None]) | np.uint64(part + 1 << PARTS[part][0]) for part, (kept, flips) in enumerate(masks)]
+        return np.concatenate(each).ravel()
+
+    return _emitted(fps, keys)
+
+
+def field_variants(rows: DataFrame) -> DataFrame:
+    """key and fp of rows (fp, fields): each at its fields and their variants. The key is the variant, tagged by its field."""
+    flips = np.array([0] + [1 << b for b in range(FIELD)], np.uint64)
+
+    def keys(batch: pa.RecordBatch) -> np.ndarray:
+        held = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, FIELDS).astype(np.uint64)
+        each = [(held[:, k][None, :] ^ flips[:, None]) | np.uint64(k << FIELD) for k in range(FIELDS)]
+        return np.concatenate(each).ravel()
+
+    return _emitted(rows, keys)
 
 
 def _star(key: int, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -238,101 +304,111 @@ def collide(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """a, b: links that connect all fingerprints within the radius; each is a true link."""
+def _met(emitted: DataFrame, out: Callable[[_Joined, np.ndarray, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """a, b: what ``out`` gives for the keys (sorted, each whole) and fingerprints of a task, with a state of its own."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, rest = _Joined(), (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-        def out(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            rows = joined.new(*(x.view(np.int64) for x in collide(keys, values)))
-            return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], names=["a", "b"])
-
+        joined, rest, last = _Joined(), [], None
         for batch in batches:
-            keys = np.concatenate([rest[0], batch.column(0).to_numpy()])
-            values = np.concatenate([rest[1], batch.column(1).to_numpy().view(np.uint64)])
-            if len(keys):
-                cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-                rest = keys[cut:], values[cut:]
-                if cut:
-                    yield out(keys[:cut], values[:cut])
-        if len(rest[0]):
-            yield out(*rest)
+            if not len(batch):
+                continue
+            keys, values = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
+            if keys[-1] != last:
+                if rest or cut:
+                    yield out(joined, *map(np.concatenate, zip(*rest, (keys[:cut], values[:cut]), strict=True)))
+                rest, last = [], keys[-1]
+            rest.append((keys[cut:], values[cut:]))
+        if rest:
+            yield out(joined, *map(np.concatenate, zip(*rest, strict=True)))
 
-    return variants(fps.select("fp")).repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
+    return emitted.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a long, b long")
 
 
-def _alike(fps: np.ndarray, sketches: np.ndarray, i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-    missed = np.bitwise_count(sketches[i] ^ sketches[j]).sum(-1, dtype=np.int64)
-    return (np.bitwise_count(fps[i] ^ fps[j]) <= WIDE) & (missed <= MISSES)
+def _linked(a: Sequence[int], b: Sequence[int]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def collide_alike(keys: np.ndarray, fps: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of rows (sorted by key) between which links are verified; they connect all alike rows that share a key."""
+def links(fps: DataFrame) -> DataFrame:
+    """a, b: links that connect all fingerprints within the radius; each is a true link."""
+
+    def out(joined: _Joined, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        rows = joined.new(*(x.view(np.int64) for x in collide(keys, values)))
+        return _linked([r[0] for r in rows], [r[1] for r in rows])
+
+    return _met(variants(fps.select("fp")), out)
+
+
+def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within ``COARSE`` bits that connect all that such links connect: the nearest, or in large sets any."""
+    n = len(fps)
+    if n <= NEAREST:
+        near, nearest, a, b = np.full(n, 65, np.uint8), np.zeros(n, np.int64), [], []
+        at, left = 0, np.ones(n, bool)
+        for _ in range(n):
+            left[at] = False
+            if near[at] <= COARSE:
+                a.append(nearest[at])
+                b.append(at)
+            near[at] = 255
+            bits = np.bitwise_count(fps ^ fps[at])
+            closer = left & (bits < near)
+            near[closer], nearest[closer] = bits[closer], at
+            at = int(near.argmin())
+        return fps[np.array(a, np.int64)], fps[np.array(b, np.int64)]
+    a, b, reached, left = [], [], [], fps
+    while len(left):
+        if not reached:
+            reached, left = [left[0]], left[1:]
+        one = reached.pop()
+        near = np.bitwise_count(left ^ one) <= COARSE
+        a.append(np.full(int(near.sum()), one))
+        b.append(left[near])
+        reached += list(left[near])
+        left = left[~near]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def collide_alike(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links within ``COARSE`` bits among the fingerprints (unsigned) that share a key; rows are sorted by key."""
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     length = np.diff(np.concatenate([start, [len(keys)]]))
     small = np.repeat(length <= 32, length)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
     for step in range(1, int(min(32, length.max(initial=0)))):
         i = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
-        i = i[_alike(fps, sketches, i, i + step)]
-        found.append((i, i + step))
+        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= COARSE]
+        found.append((fps[i], fps[i + step]))
     for at, n in zip(start[length > 32].tolist(), length[length > 32].tolist(), strict=True):
-        reached, left = [], np.arange(at, at + n)
-        while len(left):
-            if not reached:
-                reached, left = [int(left[0])], left[1:]
-            i = reached.pop()
-            near = _alike(fps, sketches, i, left)
-            found.append((np.full(int(near.sum()), i), left[near]))
-            reached += left[near].tolist()
-            left = left[~near]
+        found.append(_tree(np.unique(fps[at : at + n])))
     a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    return a, b
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def links_alike(rows: DataFrame) -> DataFrame:
-    """a1, a2, b1, b2: pairs of coarse sketches of rows (fp, s1, s2) that connect all alike rows of each bucket."""
+    """a, b: fingerprints of rows (fp, fields) that meet and are near enough to be verified; each pair at least once."""
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-
-        def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-            keys, fps, s1, s2 = columns
-            s = np.stack([s1, s2], 1)
-            i, j = collide_alike(keys, fps.view(np.uint64), s.view(np.uint64))
-            found = np.unique(np.concatenate([s[i], s[j]], 1), axis=0)
-            return pa.record_batch([pa.array(found[:, k]) for k in range(4)], names=["a1", "a2", "b1", "b2"])
-
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            columns = columns if rest is None else [np.concatenate(x) for x in zip(rest, columns, strict=True)]
-            if len(columns[0]):
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
-                rest = [c[cut:] for c in columns]
-                if cut:
-                    yield out([c[:cut] for c in columns])
-        if rest is not None:
-            yield out(rest)
+    def out(joined: _Joined, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return _linked(*(x.view(np.int64) for x in collide_alike(keys, values)))
 
-    met = variants(rows.select("fp", "s1", "s2")).repartition("key").sortWithinPartitions("key")
-    return met.mapInArrow(meet, "a1 long, a2 long, b1 long, b2 long")
+    return _met(field_variants(rows.select("fp", "fields")), out)
 
 
-def verified(links: DataFrame, minima: DataFrame) -> DataFrame:
-    """a, b (coarse sketches as structs): the links whose minima, given by node, agree in ``MATCHES`` places."""
-    each = links.select(F.struct(F.col("a1").alias("s1"), F.col("a2").alias("s2")).alias("x"), F.struct(F.col("b1").alias("s1"), F.col("b2").alias("s2")).alias("y"))
-    each = stored(each.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
+def verified(links: DataFrame, sketches: DataFrame) -> DataFrame:
+    """a, b: the links whose least hashes, given by fingerprint, are alike."""
+    each = stored(links.distinct(), "links")
+    ends = each.select(F.col("a").alias("fp")).union(each.select(F.col("b").alias("fp"))).distinct()
+    least = stored(sketches.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("least").alias("least")), "least")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, MINIMA) for c in batch.columns[2:])
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(1) >= MATCHES))
+            passed = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
 
     for end in ("a", "b"):
-        each = each.join(minima.select(F.col("node").alias(end), F.col("minima").alias(f"minima_{end}")), end)
-    node = "struct<s1: long, s2: long>"
-    return each.select("a", "b", "minima_a", "minima_b").mapInArrow(check, f"a {node}, b {node}")
+        each = each.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"least_{end}")), end)
+    return each.select("a", "b", "least_a", "least_b").mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
@@ -389,10 +465,9 @@ def keep_one(docs: DataFrame, similar: bool = False) -> DataFrame:
     fps = stored((sketched if similar else fingerprints)(rows, "__key"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
     if similar:
-        node = F.struct("s1", "s2").alias("node")
-        classes = fps.groupBy("fp", "s1", "s2").agg(least)
-        roots = components(verified(links_alike(classes), fps.groupBy(node).agg(F.min("minima").alias("minima"))))
-        found = classes.select("first", node).join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+        classes = stored(fps.groupBy("fp", "fields").agg(least), "classes")
+        roots = components(verified(links_alike(classes), fps.select("fp", "least")))
+        found = classes.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
     else:
         found = rooted(fps.groupBy("fp").agg(least))
     first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.__key")
