@@ -398,7 +398,8 @@ def links_alike(rows: DataFrame) -> DataFrame:
 def verified(links: DataFrame, sketches: DataFrame) -> DataFrame:
     """a, b: the links whose least hashes, given by fingerprint, are alike."""
     each = stored(links.distinct(), "links")
-    ends = each.select(F.col("a").alias("fp")).union(each.select(F.col("b").alias("fp"))).distinct()
+    # stored, so that Spark knows its size and shuffles no row's hashes for it where it is small enough to be sent to the tasks
+    ends = stored(each.select(F.col("a").alias("fp")).union(each.select(F.col("b").alias("fp"))).distinct(), "ends")
     least = stored(sketches.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("least").alias("least")), "least")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
