@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_token_files, op02_quality, op03_media, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
+from . import op01_token_files, op02_quality, op03_media, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts, op11_language_id, op12_prefix_trie, op13_whitening
 
 QUERIES = {
     "op1_token_files": op01_token_files.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lattice_lm": op08_lattice_lm.query,
     "op9_mixing": op09_mixing.query,
     "op10_token_counts": op10_token_counts.query,
+    "op11_language_id": op11_language_id.query,
+    "op12_prefix_trie": op12_prefix_trie.query,
+    "op13_whitening": op13_whitening.query,
 }
 ORACLE = {
     "op6_line_dedup": op06_line_dedup.ORACLE,
