@@ -12,16 +12,7 @@ bucket of over ``PAIRED`` members is linked by a second ball hashing over its le
 is linear in its size and loses no connection. Components come from alternating large-star and small-star rounds.
 
 ``keep_one(docs, similar=True)`` is for texts whose sets of five-word shingles are alike at 0.8 or more, which 3 of 64 bits
-seldom find: two such texts differ in some 10 of 64. There the balls are over a SimHash of the set of two-word shingles, of
-which an edit changes fewer, with ``FIELDS`` fields of ``FIELD`` bits: every text emits each field and all its variants with
-one bit flipped (203 in all), and two texts meet where a field of theirs differs in at most two bits. With one of eleven bits
-differing (words replaced, likeness 0.8) the chance is over 0.99, with 0.15 (a fifth appended, the worst case) 0.79, at 0.85
-0.92. Rows that meet are compared by their SimHash of the set of five-word shingles, of which ``COARSE`` bits may differ: at 0.8
-this passes with a chance of 0.97. What passes is verified by the least ``BOTTOM`` hashes of both sets, exactly where
-the sets are no larger, else as an estimate that must reach ``LIKE_BOTTOM``.
-A bucket of up to 32 rows yields all its pairs that pass, a larger one a tree of the nearest of them, over ``NEAREST`` rows a tree of
-any of them, so never more links than rows. A link of such a tree that the verification refuses can hide one
-that it would pass, unless those two meet in another bucket.
+seldom find; there the balls are over symbols instead of bits, see ``alike``.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal doc_ids
 keep all their rows; an empty table gives no rows; other columns are not read.
@@ -30,7 +21,6 @@ keep all their rows; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -44,14 +34,6 @@ from .shared import stored, texts
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: (first bit, bits) of the parts, one of which is left out in turn.
 PARTS = ((0, 22), (22, 21), (43, 21))
-#: Words in a shingle of texts that are alike, and how alike their sets are.
-LIKE_SHINGLE, LIKE = 5, 0.8
-#: Words in a shingle, fields and bits a field of the fingerprint by which such texts meet.
-MEET_SHINGLE, FIELDS, FIELD = 2, 7, 28
-#: Differing bits, of 64, of the shingles' fingerprints; least hashes kept, and the share that must agree where these are not all.
-COARSE, BOTTOM, LIKE_BOTTOM = 15, 256, 200 / 256
-#: Members of a bucket up to which each is linked to its nearest.
-NEAREST = 4096
 #: Members of a bucket up to which its pairs are compared one by one.
 PAIRED = 1024
 #: Joined nodes that a task remembers; beyond, it starts anew and may send links twice.
@@ -102,76 +84,6 @@ def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     return rows.mapInArrow(take, ", ".join(["doc_id long, fp long", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
 
 
-@cache
-def _factors() -> np.ndarray:
-    import xxhash
-
-    return np.array([xxhash.xxh64_intdigest(str(j), SEED) | 1 for j in range(8)], np.uint64)
-
-
-def word_hashes(text: str) -> np.ndarray:
-    return shingle_hashes(text, 1)
-
-
-def shingle_set(words: np.ndarray, shingle: int) -> np.ndarray:
-    """A hash of each different shingle, ascending, from the hashes of a text's words; of the whole sequence if that is shorter."""
-    n = min(shingle, len(words))
-    if not n:
-        return words
-    hashes = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        hashes += words[k : len(words) - n + 1 + k] * _factors()[k]
-    hashes ^= hashes >> np.uint64(32)
-    hashes *= _factors()[5]
-    hashes ^= hashes >> np.uint64(29)
-    return np.unique(hashes)
-
-
-def fields(words: np.ndarray) -> np.ndarray:
-    """The fields of the SimHash over the set of two-word shingles of a text's words.
-
-    The upper halves of a hash's products with the factors give the bits: two fields from each pair of factors.
-    """
-    hashes, top, out = shingle_set(words, MEET_SHINGLE), np.uint64(32), []
-    for f, g in _factors().reshape(-1, 2):
-        both = _packed(majority((hashes * f >> top) | (hashes * g >> top << top)))
-        out += [both & (1 << FIELD) - 1, both >> 32 & (1 << FIELD) - 1]
-    return np.array(out[:FIELDS], np.int32)
-
-
-def sketch(words: np.ndarray) -> tuple[int, bytes]:
-    """SimHash and least hashes (their upper 32 bits) of the set of five-word shingles of a text's words."""
-    hashes = shingle_set(words, LIKE_SHINGLE)
-    return _packed(majority(hashes)), np.unique((hashes >> np.uint64(32)).astype(np.uint32))[:BOTTOM].tobytes()
-
-
-def alike(x: bytes, y: bytes) -> bool:
-    """Whether two sketches' least hashes show sets that are alike."""
-    a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-    shared, union = np.intersect1d(a, b, assume_unique=True), np.union1d(a, b)
-    if max(len(a), len(b)) < BOTTOM:
-        return len(shared) >= LIKE * len(union)
-    union = union[:BOTTOM]
-    return int((shared <= union[-1]).sum()) >= LIKE_BOTTOM * len(union)
-
-
-def sketched(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, fp (over five-word shingles), least, fields and the named columns of every whole text."""
-    rows = texts(docs, *more)
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [[], [], []]
-            for text in batch.column(1):
-                words = word_hashes(text.as_py())
-                for column, value in zip(new, (*sketch(words), fields(words).tobytes()), strict=True):
-                    column.append(value)
-            new = [pa.array(c, t) for c, t in zip(new, (pa.int64(), pa.binary(), pa.binary()), strict=True)]
-            yield pa.record_batch([batch.column(0), *new, *batch.columns[2:]], names=["doc_id", "fp", "least", "fields", *more])
-
-    return rows.mapInArrow(take, ", ".join(["doc_id long, fp long, least binary, fields binary", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
-
-
 def _masks() -> list[tuple[int, np.ndarray]]:
     """For each part: the bits kept when it is left out, and the flips (none, or one kept bit)."""
     out = []
@@ -209,18 +121,6 @@ def variants(fps: DataFrame) -> DataFrame:
     return _emitted(fps, keys)
 
 
-def field_variants(rows: DataFrame) -> DataFrame:
-    """key and fp of rows (fp, fields): each at its fields and their variants. The key is the variant, tagged by its field."""
-    flips = np.array([0] + [1 << b for b in range(FIELD)], np.uint64)
-
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        held = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).reshape(-1, FIELDS).astype(np.uint64)
-        each = [(held[:, k][None, :] ^ flips[:, None]) | np.uint64(k << FIELD) for k in range(FIELDS)]
-        return np.concatenate(each).ravel()
-
-    return _emitted(rows, keys)
-
-
 def _star(key: int, members: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Links within one large bucket, linear in its size.
 
@@ -339,79 +239,6 @@ def links(fps: DataFrame) -> DataFrame:
     return _met(variants(fps.select("fp")), out)
 
 
-def _tree(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within ``COARSE`` bits that connect all that such links connect: the nearest, or in large sets any."""
-    n = len(fps)
-    if n <= NEAREST:
-        near, nearest, a, b = np.full(n, 65, np.uint8), np.zeros(n, np.int64), [], []
-        at, left = 0, np.ones(n, bool)
-        for _ in range(n):
-            left[at] = False
-            if near[at] <= COARSE:
-                a.append(nearest[at])
-                b.append(at)
-            near[at] = 255
-            bits = np.bitwise_count(fps ^ fps[at])
-            closer = left & (bits < near)
-            near[closer], nearest[closer] = bits[closer], at
-            at = int(near.argmin())
-        return fps[np.array(a, np.int64)], fps[np.array(b, np.int64)]
-    a, b, reached, left = [], [], [], fps
-    while len(left):
-        if not reached:
-            reached, left = [left[0]], left[1:]
-        one = reached.pop()
-        near = np.bitwise_count(left ^ one) <= COARSE
-        a.append(np.full(int(near.sum()), one))
-        b.append(left[near])
-        reached += list(left[near])
-        left = left[~near]
-    return np.concatenate(a), np.concatenate(b)
-
-
-def collide_alike(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within ``COARSE`` bits among the fingerprints (unsigned) that share a key; rows are sorted by key."""
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    length = np.diff(np.concatenate([start, [len(keys)]]))
-    small = np.repeat(length <= 32, length)
-    found = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
-    for step in range(1, int(min(32, length.max(initial=0)))):
-        i = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:])
-        i = i[np.bitwise_count(fps[i] ^ fps[i + step]) <= COARSE]
-        found.append((fps[i], fps[i + step]))
-    for at, n in zip(start[length > 32].tolist(), length[length > 32].tolist(), strict=True):
-        found.append(_tree(np.unique(fps[at : at + n])))
-    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def links_alike(rows: DataFrame) -> DataFrame:
-    """a, b: fingerprints of rows (fp, fields) that meet and are near enough to be verified; each pair at least once."""
-
-    def out(joined: _Joined, keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return _linked(*(x.view(np.int64) for x in collide_alike(keys, values)))
-
-    return _met(field_variants(rows.select("fp", "fields")), out)
-
-
-def verified(links: DataFrame, sketches: DataFrame) -> DataFrame:
-    """a, b: the links whose least hashes, given by fingerprint, are alike."""
-    each = stored(links.distinct(), "links")
-    # stored, so that Spark knows its size and shuffles no row's hashes for it where it is small enough to be sent to the tasks
-    ends = stored(each.select(F.col("a").alias("fp")).union(each.select(F.col("b").alias("fp"))).distinct(), "ends")
-    least = stored(sketches.join(ends, "fp", "left_semi").groupBy("fp").agg(F.min("least").alias("least")), "least")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            passed = [alike(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
-
-    for end in ("a", "b"):
-        each = each.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"least_{end}")), end)
-    return each.select("a", "b", "least_a", "least_b").mapInArrow(check, "a long, b long")
-
-
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node, root (the smallest node of its component) for every node of an edge, by large-star and small-star.
 
@@ -461,22 +288,25 @@ def keep_one(docs: DataFrame, similar: bool = False) -> DataFrame:
 
     Components are those of ``near_duplicates``, or, if similar, of texts alike at 0.8 over five-word shingles. The choice is made on ids, fingerprints and digests; whole rows are shuffled once, by digest.
     """
-    named = F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("none")), F.lit(":"), F.coalesce("text", F.lit("")))
-    rows = docs.withColumn("__key", F.unhex(F.sha2(named, 256)))
-    fps = stored((sketched if similar else fingerprints)(rows, "__key"), "fingerprints")
-    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first")
+    from . import alike
+
+    # whole rows lie in a struct, so that no name of theirs meets one of here
+    row = docs.select(F.struct("*").alias("row"))
+    doc_id, text = F.col("row").getField("doc_id").cast("long"), F.coalesce(F.col("row").getField("text"), F.lit(""))
+    named = F.concat(F.coalesce(doc_id.cast("string"), F.lit("none")), F.lit(":"), text)
+    rows = row.select("row", doc_id.alias("doc_id"), text.alias("text"), F.unhex(F.sha2(named, 256)).alias("key"))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")
     if similar:
-        classes = stored(fps.groupBy("fp", "fields").agg(least), "classes")
-        roots = components(verified(links_alike(classes), fps.select("fp", "least")))
-        found = classes.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+        nodes = stored(alike.sketched(rows, "key"), "sketches")
+        found = nodes.groupBy("node").agg(least).join(alike.rooted(nodes), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     else:
-        found = rooted(fps.groupBy("fp").agg(least))
-    first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.__key")
-    others = [c for c in docs.columns if c not in ("doc_id", "text") and _orderable(docs.schema[c].dataType)]
-    row = F.struct(*docs.columns)
+        found = rooted(stored(fingerprints(rows, "key"), "fingerprints").groupBy("fp").agg(least))
+    first = found.groupBy("root").agg(F.min("first").alias("first")).select("first.key")
+    others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text") and _orderable(docs.schema[c].dataType)]
+    order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(others)])
     # repeated rows meet in their tasks before the shuffle, however many there are
-    one = rows.groupBy("__key").agg((F.min_by(row, F.struct(*others)) if others else F.first(row)).alias("row"))
-    return one.join(stored(first, "kept-rows"), "__key", "left_semi").select("row.*")
+    one = rows.groupBy("key").agg((F.min_by("row", order) if others else F.first("row")).alias("row"))
+    return one.join(stored(first, "kept-rows"), "key", "left_semi").select("row.*")
 
 
 def _orderable(kind: DataType) -> bool:
