@@ -93,10 +93,15 @@ def copies(sizes: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: int = SEED, **mixture) -> DataFrame:
-    """The mixed documents, each row as often as it is taken, with the columns of docs."""
-    # stored, so that the range partitioner's sampling doesn't count the words a second time
-    taken = copies(stored(sized(docs, F.struct("*")), "sizes"), seed, **mixture).filter("copies > 0")
-    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+    """The mixed documents, each row as often as it is taken, with the columns of docs.
+
+    Only sizes and row numbers are put in order; whole rows are stored with their numbers, by which their copies are joined to them,
+    so that a task's share of text doesn't depend on the order of sizes.
+    """
+    rows = stored(sized(docs, F.struct("*")).withColumn("number", F.monotonically_increasing_id()), "sizes")
+    taken = copies(rows.select("source", "size", "doc_id", "tie", F.col("number").alias("row")), seed, **mixture).filter("copies > 0")
+    found = rows.select("number", "row").join(taken.select(F.col("row").alias("number"), "copies"), "number")
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

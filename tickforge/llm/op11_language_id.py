@@ -182,32 +182,30 @@ def predict(docs: DataFrame, filters: Filters, *also: Column) -> DataFrame:
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        languages, seen, evidence = f.languages, _Remembered(), np.zeros((0, len(f.languages)))
+        n, seen, evidence = len(f.languages), _Remembered(), np.zeros((0, len(f.languages)))
         for batch in batches:
-            preds, scores = [], []
-            for text in batch.column(0):
-                words = words_of(text.as_py()) if languages else []
-                if not has_letter(words):
-                    preds.append(NONE)
-                    scores.append(0.0)
-                    continue
-                total = np.zeros(len(languages))
+            total, lettered, waiting, held = np.zeros((len(batch), n)), np.zeros(len(batch), bool), [], 0
+            for k, text in enumerate(batch.column(0)):
+                words = words_of(text.as_py()) if n else []
+                lettered[k] = has_letter(words)
                 for at in range(0, len(words), HELD):
+                    part = words[at : at + HELD]
+                    waiting.append((k, np.fromiter(map(seen.__getitem__, part), np.int64, len(part))))
+                    held += len(part)
+                if held > HELD or k == len(batch) - 1:
+                    # words met for the first time are taken apart together
+                    evidence = np.concatenate([evidence, f.evidence(seen.new)]) if seen.new else evidence
+                    for j, ids in waiting:
+                        total[j] += evidence[ids].sum(0)
+                    seen.new, waiting, held = [], [], 0
                     if len(seen) > HELD:
                         seen, evidence = _Remembered(), evidence[:0]
-                    part = words[at : at + HELD]
-                    ids = np.fromiter(map(seen.__getitem__, part), np.int64, len(part))
-                    if seen.new:
-                        if len(seen) > len(evidence):
-                            evidence = np.concatenate([evidence, np.zeros((max(len(seen), 2 * len(evidence)) - len(evidence), len(languages)))])
-                        evidence[len(seen) - len(seen.new) : len(seen)] = f.evidence(seen.new)
-                        seen.new = []
-                    total += evidence[ids].sum(0)
-                best = int(total.argmax())
-                odds = (total - total[best]) * (np.log(4.0) / ORDERS)
-                preds.append(languages[best])
-                scores.append(float(1 / np.exp(odds).sum()))
-            yield pa.record_batch([*batch.columns[1:], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=names)
+            preds, scores = [NONE] * len(batch), np.zeros(len(batch))
+            for k in np.flatnonzero(lettered):
+                best = int(total[k].argmax())
+                preds[k] = f.languages[best]
+                scores[k] = 1 / np.exp((total[k] - total[k][best]) * (np.log(4.0) / ORDERS)).sum()
+            yield pa.record_batch([*batch.columns[1:], pa.array(preds, pa.string()), pa.array(scores)], names=names)
 
     schema = type(rows.schema)(rows.schema.fields[1:]).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(rate, schema)

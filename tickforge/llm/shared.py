@@ -29,6 +29,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _owned: set[str] = set()
+_written: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +47,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         _owned.add(folder)
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many tables have been stored."""
+    return len(_written)
+
+
+def dropped(spark: SparkSession, keep: DataFrame, since: int = 0) -> None:
+    """Deletes the tables stored since the ``since``-th, but for those that ``keep`` reads.
+
+    For a caller that has stored the outcome of a step and needs nothing that the step wrote on its way.
+    """
+    read = "\n".join(keep.inputFiles())
+    for path in _written[since:]:
+        if path.rsplit("/", 1)[-1] not in read:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and the named columns; other columns are not read."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
