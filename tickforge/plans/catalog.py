@@ -518,3 +518,6 @@ def stream_windows(spark, d):
     least, most = ticks.select((F.col("ts_ms") + late).alias("a")).agg(F.min("a"), F.max("a")).first()
     batch = F.floor((F.col("ts_ms") + late - least) * 6 / (most - least + 1))
     return live.run_to_table(live.windowed(live.arrivals(ticks, batch, 6)))
+
+
+from tickforge.plans import extended as _extended  # noqa: E402, F401  (registers its queries here)

@@ -24,14 +24,24 @@ STATE = "cash double, inventory double, lots long, bid double, ask double, ancho
 KEPT = ["cash", "inventory", "lots", "bid", "ask", "anchor", "average", "worth", "ended"]
 
 
+_owned: set[str] = set()
+
+
 def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    """A new folder that driver and executors share. All of an application's lie in one, which is deleted when it ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tickforge-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    root = f"{base}/streams-{spark.sparkContext.applicationId}"
+    if root not in _owned:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _owned.add(root)
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def parse_trades(lines: DataFrame, symbol: str) -> DataFrame:
@@ -104,6 +114,13 @@ def windowed(stream: DataFrame, width: str = "6 hours", delay: str = "3 hours")
     return rows.select("symbol", F.unix_seconds("w.start").alias("start"), "n", "lots")
 
 
+def sessions(stream: DataFrame, gap: str = "20 minutes", delay: str = "3 hours") -> DataFrame:
+    """Ticks of a symbol that follow each other within ``gap``, over a stream: a session is given once, when the watermark has
+    passed its end. Until then a late tick still joins it, or joins two."""
+    rows = late_safe(stream, delay).groupBy("symbol", F.session_window("at", gap).alias("w"))
+    return rows.agg(F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("last_ms"), F.count("*").alias("n"), F.sum("lots").alias("lots")).drop("w")
+
+
 def arrivals(ticks: DataFrame, batch: F.Column, batches: int) -> DataFrame:
     """``ticks`` as a stream of ``batches`` files in the order of ``batch``, a number from 0, one file a micro-batch."""
     where = f"{folder(ticks.sparkSession)}/arrivals"
@@ -112,9 +129,14 @@ def arrivals(ticks: DataFrame, batch: F.Column, batches: int) -> DataFrame:
     return ticks.sparkSession.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(where)
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
-    """Runs a stream over all that is there into Parquet and reads it."""
+def run(stream: DataFrame) -> str:
+    """Runs a stream over all that is there into Parquet; the folder with its ``rows`` and its checkpoint, ``log``."""
     where = folder(stream.sparkSession)
     query = stream.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{where}/rows")
+    return where
+
+
+def run_to_table(stream: DataFrame) -> DataFrame:
+    """Runs a stream over all that is there into Parquet and reads it."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{run(stream)}/rows")
