@@ -35,7 +35,7 @@ def paged_kline_range(spark, d):
     """Candles of a range of days: the conditions on the open time narrow the pages that are fetched."""
     folder = f"{live.folder(spark)}/klines"
     feed.record(series.candles(t.raw_ticks(spark, d), 1800), F.col("time") * 1000, feed.candle_record(), folder, 100 * 1_800_000)
-    rows = feed.opened(spark, folder, kind="candles", limit=100).filter("open_ms >= 1704412800000 and open_ms <= 1705276800000")
+    rows = feed.opened(spark, folder, kind="candles", limit=100, pushdown=True).filter("open_ms >= 1704412800000 and open_ms <= 1705276800000")
     return rows.select("symbol", (F.col("open_ms") / 1000).cast("long").alias("time"), "open", "high", "low", "close", "volume")
 
 

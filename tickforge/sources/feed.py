@@ -3,14 +3,16 @@
 A feed answers with up to ``limit`` records of a symbol from a cursor on: trades by id, candles by open time. Its pages
 come from an address (``http://...``, with the parameters that exchanges use) or from a recording (a folder
 written by ``record``, which all executors can open). Tasks read ranges of the cursor, so that a long history is fetched by many tasks at once; each goes on from the last
-record's key plus one and stops at an empty page or its range's end. Conditions on the key and on the symbol narrow the
-ranges before anything is fetched (``spark.sql.python.filterPushdown.enabled``).
+record's key plus one and stops at an empty page or its range's end. With ``pushdown`` conditions on the key and on the symbol narrow the
+ranges before anything is fetched. Spark keeps what was pushed last with the loaded table, so a table that is opened with it takes one condition in a
+plan; open it again for another. Without it any number will do.
 
 As a stream the offset of each symbol is its next key. A micro-batch is a range of keys, so one that fails is fetched again
-from its own start and nothing before it is; ``keys_per_batch`` bounds it for triggers that go on.
+from its own start and nothing before it is. The first of a run reaches up to the newest key; ``keys_per_batch`` bounds those after it, for triggers that go on
+(with ``availableNow`` a run would end after one of them).
 
 Options: ``path``; ``kind`` (trades, candles); ``symbols`` (by comma; a recording's own if missing); ``limit`` of a page;
-``start`` and ``end`` of the key, both included; ``last``: start so many keys before the newest; ``keys_per_task``; ``retries``.
+``start`` and ``end`` of the key, both included; ``last``: start so many keys before the newest; ``keys_per_task``; ``retries``; ``pushdown``.
 """
 
 from __future__ import annotations
@@ -146,12 +148,15 @@ class BatchReader(DataSourceReader):
         self.ranges = _Ranges(options)
         self.least, self.most = None, int(options["end"]) if "end" in options else None
         self.only: set[str] | None = None
+        self.narrows = options.get("pushdown") == "true"
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Conditions on the key and the symbol become ranges; Spark applies the rest."""
         key = (KEYS[self.ranges.kind],)
         for f in filters:
-            if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo, LessThan, LessThanOrEqual)) and f.attribute == key and isinstance(f.value, int):
+            if not self.narrows:
+                yield f
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo, LessThan, LessThanOrEqual)) and f.attribute == key and isinstance(f.value, int):
                 if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
                     least = f.value + isinstance(f, GreaterThan)
                     self.least = least if self.least is None else max(self.least, least)
@@ -189,10 +194,10 @@ class StreamReader(DataSourceStreamReader):
         self.reached: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
-        self.reached = {s: self.ranges.first_key(self.ranges.pages.newest(s) or 0) for s in self.ranges.symbols()}
-        return dict(self.reached)
+        return {s: self.ranges.first_key(self.ranges.pages.newest(s) or 0) for s in self.ranges.symbols()}
 
     def latestOffset(self) -> dict:
+        # a run doesn't tell where it starts before it asks where to end, so its first batch has no bound
         end = {}
         for s in self.ranges.symbols():
             newest = self.ranges.pages.newest(s)
@@ -264,9 +269,11 @@ def candle_record() -> F.Column:
     return F.array((F.col("time") * 1000).cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")])
 
 
-def opened(spark: SparkSession, folder: str, **options) -> DataFrame:
+def opened(spark: SparkSession, folder: str, kind: str = "trades", pushdown: bool = False, **options) -> DataFrame:
     register(spark)
-    return spark.read.format("paged_feed").options(path=folder, **options).load()
+    rows = spark.read.format("paged_feed").options(path=folder, kind=kind, pushdown=str(pushdown).lower(), **options).load()
+    # a condition that is always pushed, so that no plan meets what another has pushed
+    return rows.filter(F.col(KEYS[kind]) >= 0) if pushdown else rows
 
 
 def followed(spark: SparkSession, folder: str, **options) -> DataFrame:
