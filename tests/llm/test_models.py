@@ -84,10 +84,11 @@ def test_network_learns_and_calibrates():
 
 
 def plain_lattice(word, weight):
-    total = [1.0] + [0.0] * len(word)
+    total = [0.0]
     for i in range(1, len(word) + 1):
-        total[i] = sum(total[j] * math.exp(weight[word[j:i]]) for j in range(i) if word[j:i] in weight)
-    return math.log(total[-1])
+        # in logs: under another class's weights a long word's probability is less than a double can hold
+        total.append(np.logaddexp.reduce([total[j] + weight[word[j:i]] for j in range(max(0, i - 40), i) if word[j:i] in weight]))
+    return total[-1]
 
 
 def test_lattice_sums_all_segmentations():
@@ -152,23 +153,26 @@ def plain_scores(rows, held):
         shared = (sum(every[w] > 1 for w, n in c.items() if n == 1) + 0.5) / (sum(n == 1 for n in c.values()) + 1) if len(train) > 1 and sum(every.values()) > sum(c.values()) else 0.0
         parts[k] = c, d, total, freed, shared, dict(zip(pieces, weights, strict=True)), e["n"]
     out = {}
-    for i, _, k in rows:
-        c, d, total, freed, shared, weight, e = parts[k]
-        plain = []
-        for w in words[i]:
-            spelled = plain_lattice(b" " + w, weight) + math.log(freed * (1 - shared))
-            whole = (c[w] - d(c[w])) / max(total, 1) + freed * shared * (every[w] - off(every[w])) / max(kept, 1)
-            plain.append(np.logaddexp(spelled, math.log(whole)) if whole > 0 else spelled)
-        by_weight = []
-        for own in lm.OWN:
-            seen, s = Counter(), 0.0
-            for t, (w, p) in enumerate(zip(words[i], plain, strict=True)):
-                o = own * t / (t + 20)
-                s += np.logaddexp(p + math.log(1 - o), math.log(o * seen[w] / t) if o * seen[w] else -np.inf)
-                seen[w] += 1
-            by_weight.append(s)
-        ln = np.logaddexp.reduce(by_weight) - math.log(len(lm.OWN)) + math.log((e or 0.5) / max(total, 1)) + math.log((e + 1) / (ends_all + len(train)))
-        out[i] = ln / math.log(10)
+    for i, _, _ in rows:
+        by_class = []
+        for c, d, total, freed, shared, weight, e in parts.values():
+            plain, known = [], {}
+            for w in words[i]:
+                if w not in known:
+                    spelled = plain_lattice(b" " + w, weight) + math.log(freed * (1 - shared))
+                    whole = (c[w] - d(c[w])) / max(total, 1) + freed * shared * (every[w] - off(every[w])) / max(kept, 1)
+                    known[w] = np.logaddexp(spelled, math.log(whole)) if whole > 0 else spelled
+                plain.append(known[w])
+            by_weight = []
+            for own in lm.OWN:
+                seen, s = Counter(), 0.0
+                for t, (w, p) in enumerate(zip(words[i], plain, strict=True)):
+                    o = own * t / (t + 20)
+                    s += np.logaddexp(p + math.log(1 - o), math.log(o * seen[w] / t) if o * seen[w] else -np.inf)
+                    seen[w] += 1
+                by_weight.append(s)
+            by_class.append(np.logaddexp.reduce(by_weight) - math.log(len(lm.OWN)) + math.log((e or 0.5) / max(total, 1)) + math.log((e + 1) / (ends_all + len(train))))
+        out[i] = np.logaddexp.reduce(by_class) / math.log(10)
     return out
 
 
@@ -185,6 +189,26 @@ def test_scores_equal_the_plain_model(spark, docs):
         assert len(got) == len(want) and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
 
 
+def test_scores_dont_depend_on_a_texts_own_label(spark):
+    """Other labels of documents that are held out change no score."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    other = docs.withColumn("lang", F.when(held_out, F.when(F.col("doc_id") % 2 == 0, F.lit("en"))).otherwise(F.col("lang")))
+    a, b = ({r.doc_id: r.score for r in lm.scores(x, held_out).collect()} for x in (docs, other))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=1e-6) for i in a)
+
+
+def test_long_words_hold_few_places():
+    """Probabilities under several weights at once, over more places than are held."""
+    pieces, scores = vocabulary_pieces(vocabulary("piece_bpe_32k.model"))
+    lattice = Lattice(pieces, scores)
+    draw = np.random.default_rng(1)
+    other = scores + draw.normal(0, 1, len(scores))
+    words = [b" the", b"q", b" " + b"thing" * 1200, b" thingly", b" of"] + [b" " + bytes(draw.choice([*b"etaoin"], n).tolist()) for n in (3, 9, 2500, 9)]
+    both = lattice.log_probabilities(words, np.stack([scores, other]))
+    assert np.allclose(both[0], lattice.log_probability(words)) and np.allclose(both[1], lattice.weighed(other).log_probability(words))
+
+
 def test_model_is_better_than_its_base(spark):
     found = lm.query(spark, "/root/testdata/sf0.01").collect()
     for group in ([r for r in found if not r.held_out], [r for r in found if r.held_out and r.n_known == r.n_tokens]):
