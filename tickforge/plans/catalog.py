@@ -44,12 +44,33 @@ def scan_messages(spark, d):
     return t.messages(spark, d)
 
 
-@query("csv_messages", f"WITH {sql.MESSAGES} SELECT seq - 1 AS seq, symbol, timestamp, type, order_id, side, price, qty FROM messages WHERE symbol = 'R' AND seq > 1")
+_NUMBERED = "seq - 1 AS seq, symbol, timestamp, type, order_id, side, price, qty"
+
+
+def _csv_of(spark, d, folder: str, symbol: str, name: str) -> None:
+    t.write_messages_csv(t.messages(spark, d).filter(F.col("symbol") == symbol), f"{folder}/{name}.csv")
+
+
+@query("csv_messages", f"WITH {sql.MESSAGES} SELECT {_NUMBERED} FROM messages WHERE seq > 1")
 def csv_messages(spark, d):
-    """One symbol's messages written as CSV and read back; the first line is skipped, lines count from 0."""
-    path = f"{live.folder(spark)}/R.csv"
-    t.write_messages_csv(t.messages(spark, d).filter("symbol = 'R'"), path)
-    return t.read_messages_csv(spark, path, "R")[0]
+    """Each symbol's messages written as CSV and read back; the first line is skipped, lines count from 0."""
+    folder, out = live.folder(spark), None
+    for (symbol,) in sorted(t.messages(spark, d).select("symbol").distinct().collect()):  # a row a symbol
+        _csv_of(spark, d, folder, symbol, symbol)
+        rows = t.read_messages_csv(spark, t.message_path(spark, folder, symbol), symbol)[0]
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("csv_fallback", f"""WITH {sql.MESSAGES} SELECT {_NUMBERED} FROM messages WHERE symbol = 'R' AND seq > 1
+UNION ALL SELECT seq - 1, 'N/O-NE', timestamp, type, order_id, side, price, qty FROM messages WHERE symbol = 'A' AND seq > 1""")
+def csv_fallback(spark, d):
+    """A symbol that has a file is read from it, one that has none from the fallback."""
+    folder = live.folder(spark)
+    _csv_of(spark, d, folder, "R", "R")
+    _csv_of(spark, d, folder, "A", "test_data")
+    found, none = (t.read_messages_csv(spark, t.message_path(spark, folder, s), s)[0] for s in ("R", "N/O-NE"))
+    return found.union(none)
 
 
 @query("message_type_counts", f"WITH {sql.MESSAGES} SELECT symbol, type, count(*) AS n, CAST(sum(qty) AS BIGINT) AS qty FROM messages GROUP BY symbol, type")
@@ -130,9 +151,11 @@ def close_line(spark, d):
     return series.candles(t.raw_ticks(spark, d), 1800).select("symbol", "time", F.col("close").alias("value"))
 
 
-@query("training_progress", "SELECT n, round(100.0e0 * n / 50000, 2) AS percent FROM (SELECT unnest(range(1024, 50001, 1024)) AS n)")
+@query("training_progress", """SELECT event_id AS n, round(least(100.0e0 * event_id / (SELECT count(*) FROM events), 100.0e0), 2) AS percent FROM events WHERE event_id > 0 AND event_id % 1024 = 0""")
 def training_progress(spark, d):
-    return spark.range(1024, 50001, 1024).select(F.col("id").alias("n"), F.round(F.least(100.0 * F.col("id") / 50000, F.lit(100.0)), 2).alias("percent"))
+    """Share of the recorded ticks that a run over them has done at every 1,024th."""
+    steps = t.ticks(spark, d).select(F.col("seq").alias("n"))
+    return steps.filter("n > 0 and n % 1024 = 0").select("n", F.round(F.least(100.0 * F.col("n") / steps.count(), F.lit(100.0)), 2).alias("percent"))
 
 
 @query("policy_constant", f"WITH {sql.TICKS} SELECT symbol, seq, CASE WHEN seq % 7 = 0 THEN 0.5e0 ELSE 0.1e0 END AS gamma, CASE WHEN seq % 7 = 0 THEN 10.0e0 ELSE 1.0e0 END AS spread FROM ticks")
@@ -182,6 +205,14 @@ def live_obi(spark, d):
     return rows.withColumn("obi", m.imbalance(F.col("bid_volume"), F.col("ask_volume")))
 
 
+@query("live_mid", f"""WITH {sql.TICKS}, s AS (SELECT symbol, seq, is_buyer_maker AS mk, CAST(round_even(price, 0) AS BIGINT) AS p FROM ticks)
+SELECT symbol, seq, (CASE WHEN mk THEN greatest(p - 1, 0) ELSE p END + CASE WHEN mk THEN p + 1 ELSE p + 2 END) / 2.0e0 AS mid FROM s""")
+def live_mid(spark, d):
+    """Middle price of the depth that each live tick leaves."""
+    depth = m.live_depth(m.whole_price(F.col("price")), m.whole_volume(F.col("volume")), F.col("is_buyer_maker"))
+    return t.ticks(spark, d).select("symbol", "seq", m.mid_price(depth["best_bid"], depth["best_ask"]).alias("mid"))
+
+
 # Series
 
 
@@ -290,6 +321,15 @@ def resolve_hyperparams(spark, d):
     return reports.resolve(symbols.select("symbol"), t.registry(spark, d), symbols)
 
 
+@query("sidecar_params", f"""WITH {sql.SYMBOLS} SELECT symbol, {sql.number('sidecar', 'max_inventory')} AS max_inventory, {sql.number('sidecar', 'base_trade_size')} AS base_trade_size, {sql.number('sidecar', 'kappa')} AS kappa
+FROM symbols WHERE sidecar IS NOT NULL""")
+def sidecar_params(spark, d):
+    """Hyperparameters from the JSON files that lie beside the models' own, one a symbol."""
+    folder = live.folder(spark)
+    _symbols(spark, d).filter("sidecar is not null").select("symbol", F.col("sidecar").alias("value")).write.partitionBy("symbol").text(folder)
+    return t.read_sidecar(spark, folder).select("symbol", "max_inventory", "base_trade_size", "kappa")
+
+
 @query("display_params", f"""WITH {sql.REGISTRY}, {sql.LATEST}, {sql.SYMBOLS}
 SELECT s.symbol, coalesce({sql.number('s.sidecar', 'max_inventory')}, {sql.number('l.hyperparameters', 'max_inventory')}, 10.0e0) AS max_inventory,
     coalesce({sql.number('s.sidecar', 'kappa')}, {sql.number('l.hyperparameters', 'kappa')}, 1.5e0) AS kappa FROM symbols s LEFT JOIN latest l ON s.symbol = l.symbol""")

@@ -73,7 +73,7 @@ def read_klines_json(spark: SparkSession, path: str, symbol: str) -> DataFrame:
 
 
 def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
-    """Hyperparameters beside a model file."""
+    """Hyperparameters beside a model file, or beside all of a folder (with what the folder's names tell, such as ``symbol=...``)."""
     return spark.read.option("multiLine", True).schema("max_inventory double, base_trade_size double, kappa double").json(path)
 
 
