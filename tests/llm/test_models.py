@@ -411,3 +411,50 @@ def test_pipeline(spark, docs, nothing, tmp_path):
     found = corpus_pipeline.run(spark, FOLDER)
     ends = found.groupBy("sequence_id").agg(F.max(F.col("offset") + F.col("length")).alias("e"), F.sum("length").alias("n")).collect()
     assert all(r.e == r.n <= 2048 for r in ends) and len(ends) > 10
+
+
+def test_stages_by_brute_force(spark, tmp_path):
+    """The whole chain over a small corpus: what each stage keeps of its input, and the pieces that come out, by plain walks."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from tickforge.llm import alike
+
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    with_line = F.when(F.col("doc_id") % 7 > 0, F.concat("text", F.lit("\nThe same line at the end of many pages."))).otherwise(F.col("text"))
+    docs.withColumn("text", with_line).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    scores = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels), F.col("doc_id")).collect()}
+    now = {r.doc_id: r for r in docs.collect() if scores[r.doc_id] >= 0.5}
+    assert len(now) < docs.count() == len(scores)
+    # lines on at least 5 pages of their source and on more than a twentieth of them
+    pages, seen = Counter(r.source for r in now.values()), Counter((r.source, x) for r in now.values() for x in {*(r.text or "").split("\n")} if x)
+    gone = {k for k, n in seen.items() if n >= 5 and n > 0.05 * pages[k[0]]}
+    texts = {i: None if r.text is None else "\n".join(x for x in r.text.split("\n") if (r.source, x) not in gone) for i, r in now.items()}
+    assert any(texts[i] != r.text for i, r in now.items())
+    # of texts that meet and are alike the smallest doc_id
+    ids = sorted(texts)
+    sketches = {i: alike.sketch(texts[i] or "") for i in ids}
+    root = {i: i for i in ids}
+    for i in ids:
+        for j in ids:
+            (x, least, mine), (y, others, theirs) = sketches[i], sketches[j]
+            if j < i and root[i] != root[j] and (x == y or ({*mine.tolist()} & {*theirs.tolist()} and alike.alike(alike._hashes(least), alike._hashes(others)))):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    kept = {i for i in ids if root[i] == i}
+    assert len(kept) < len(ids)
+    left = spark.createDataFrame([(i, texts[i], now[i].source) for i in sorted(kept)], "doc_id long, text string, source string")
+    taken = {r.doc_id: r.copies for r in mixing.copies(mixing.sized(left, F.lit(0))).collect()}
+    tokenizer = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    want = Counter()
+    for i, n in taken.items():
+        tokens = np.array([*tokenizer.encode(texts[i] or "", add_special_tokens=False).ids, 0], "<u4")
+        first = len(tokens) % 2048 or 2048
+        cuts = [0, *range(first, len(tokens) + 1, 2048)] if len(tokens) > 2048 else [0, len(tokens)]
+        if n:
+            want.update({(i, k, a, b - a, zlib.crc32(tokens[a:b].tobytes())): n for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))})
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found) == want
+    assert len({r.sequence_id for r in found}) <= math.ceil(sum(r.length for r in found) / 2048) * 1.02 + 1

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_dedup import plain_components
-from tickforge.llm import op01_token_files, op02_quality, op03_media, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts
+from tickforge.llm import op01_token_files, op02_quality, op03_media, op04_winnowing, op05_simhash, op06_line_dedup, op07_packing, op08_lattice_lm, op09_mixing, op10_token_counts, op11_language_id
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +28,7 @@ def test_every_operator_keeps_the_rows(holes, spark):
     assert op08_lattice_lm.scores(holes, F.coalesce(F.col("doc_id") == 2, F.lit(False))).count() == 5
     assert op09_mixing.copies(op09_mixing.sized(holes, F.lit(0))).count() == 5
     assert op10_token_counts.histogram(op10_token_counts.lengths(holes)).agg(F.sum("n_docs")).first()[0] == 5
+    assert op11_language_id.predict(holes, op11_language_id.fit(holes), F.col("doc_id")).count() == 5
 
 
 def test_keep_one_without_ids(holes):
