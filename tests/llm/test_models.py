@@ -3,6 +3,7 @@
 import hashlib
 import html
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -209,6 +210,31 @@ def test_long_words_hold_few_places():
     assert np.allclose(both[0], lattice.log_probability(words)) and np.allclose(both[1], lattice.weighed(other).log_probability(words))
 
 
+@pytest.mark.parametrize("places", [1, 7, 50])
+def test_expected_uses_by_blocks(monkeypatch, places):
+    """A word's expected uses don't depend on the blocks that they are summed by."""
+    from tickforge.llm import lattice as module
+
+    lattice = Lattice(*vocabulary_pieces(vocabulary("piece_bpe_32k.model")))
+    draw = np.random.default_rng(3)
+    words = [b" q", b" the", b" " + b"thing" * 40, " größe東京".encode() * 9] + [bytes(draw.integers(1, 256, n).tolist()) for n in (49, 50, 51, 99, 100, 101, 300)]
+    counts = draw.uniform(0.5, 3, len(words))
+    whole = lattice.expected(words, counts)
+    monkeypatch.setattr(module, "_PLACES", places)
+    assert np.allclose(lattice.expected(words, counts), whole, rtol=1e-9, atol=1e-12)
+
+
+def test_words_of_any_length_re_estimate_the_pieces(spark):
+    """Scores follow the plain model, which learns from every word met once, where words have hundreds or thousands of letters."""
+    draw = random.Random(6)
+    long = ["".join(draw.choices("abcdefgh", k=n)) for n in (255, 256, 257, 700, 2500)]
+    rows = [(i, f"some words of text {i} {w} and more", None) for i, w in enumerate(long)] + [(100, "abcdefgh some words hgfedcba", None), (101, "xyz of abab", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = plain_scores(rows, lambda i: i > 99)
+    got = {r.doc_id: r.score for r in lm.scores(df, F.col("doc_id") > 99).collect()}
+    assert len(got) == len(want) and all(got[i] == pytest.approx(want[i], rel=1e-6) for i in want)
+
+
 def test_model_is_better_than_its_base(spark):
     found = lm.query(spark, "/root/testdata/sf0.01").collect()
     for group in ([r for r in found if not r.held_out], [r for r in found if r.held_out and r.n_known == r.n_tokens]):

@@ -10,6 +10,8 @@ import numpy as np
 #: Bytes from which letters are no longer plain, no longer Latin of two bytes, and the end of all bytes.
 _KINDS = (0x80, 0xD0, 0x100)
 _BASE, _MIX, _BITS = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 18
+#: Bytes from which a word's expected uses are summed by blocks of so many places, so that no more of its arcs are held.
+_PLACES = 2048
 
 
 @lru_cache(maxsize=2)
@@ -112,6 +114,46 @@ class Lattice:
                 kept.append(ids)
         return alpha, kept
 
+    def _arcs(self, letters: np.ndarray, first: int, past: int, longest: int) -> np.ndarray:
+        """Pieces that end at the places first to past - 1 of one word: a row a place, from the longest to the last letter."""
+        ends = np.arange(first, past)
+        ids, hashes = np.full((len(ends), longest), self.none, np.int32), np.zeros(len(ends), np.uint64)
+        for k in range(1, min(longest, past - 1) + 1):
+            whole = max(0, k - first)
+            hashes[whole:] += (letters[ends[whole:] - k] + np.uint64(1)) * self.powers[k - 1]
+            ids[whole:, longest - k] = self._find(hashes[whole:])
+        return ids
+
+    def _expected_long(self, word: bytes, count: float, longest: int) -> np.ndarray:
+        """Expected uses of each piece over one word of any length; 8 bytes a place are held, and the arcs of one block."""
+        letters, n = np.frombuffer(word, np.uint8), len(word)
+        # place i is at longest + i: what comes before the word can't be reached
+        alpha = np.full(longest + n + 1, -np.inf)
+        alpha[longest] = 0.0
+        blocks = [(at, min(at + _PLACES, n + 1)) for at in range(1, n + 1, _PLACES)]
+        for first, past in blocks:
+            scores = self.scores[self._arcs(letters, first, past, longest)]
+            for i in range(first, past):
+                sums = alpha[i : i + longest] + scores[i - first]
+                most = sums.max()
+                alpha[i + longest] = most + np.log(np.exp(sums - most).sum())
+        total, shift = np.zeros(self.none + 1), np.log(count) - alpha[-1]
+        # of the places that the block's pieces begin at; the block after has its part in the last of them
+        beta = np.full(longest, -np.inf)
+        beta[-1] = 0.0
+        for first, past in reversed(blocks):
+            ids = self._arcs(letters, first, past, longest)
+            scores = self.scores[ids]
+            beta = np.concatenate([np.full(past - first, -np.inf), beta])
+            for i in range(past - 1, first - 1, -1):
+                at = i - first
+                np.logaddexp(beta[at : at + longest], scores[at] + beta[at + longest], out=beta[at : at + longest])
+            starts = np.lib.stride_tricks.sliding_window_view(alpha[first : past - 1 + longest], longest)
+            used = np.exp(starts + scores + beta[longest:, None] + shift)
+            total += np.bincount(ids.ravel(), used.ravel(), self.none + 1)
+            beta = beta[:longest]
+        return total
+
     def _batches(self, words: list[bytes], cells: int = 400_000):
         """Words of one kind and about one length together, so that padding is small: places, words, lengths, longest piece."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -166,6 +208,10 @@ class Lattice:
         """Expected uses of each piece over the words, each counted so often."""
         total = np.zeros(self.none + 1)
         for where, some, lengths, longest in self._batches(words):
+            if lengths[-1] > _PLACES:
+                for k, word in zip(where, some, strict=True):
+                    total += self._expected_long(word, counts[k], longest)
+                continue
             alpha, kept = self._forward(some, lengths, longest, keep=True)
             columns, top = np.arange(len(some)), len(kept)
             beta = np.full((top + 1, len(some)), -np.inf)

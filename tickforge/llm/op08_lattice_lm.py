@@ -23,7 +23,7 @@ single precision: all terms of a score have one sign, so its relative error is t
 
 Defined cases: a null or empty text is the end alone; with no training documents all words are unknown and the
 pieces keep their first weights; without a column ``lang`` there is one class, and a null or rare language is in the
-last class; words of over ``LONG`` bytes are scored like any other but don't re-estimate the pieces, as they are no pattern for words not met yet; repeated rows are scored and counted each; an empty table gives no rows; other columns are not read.
+last class; words of any length are scored and re-estimate the pieces; repeated rows are scored and counted each; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,8 +47,6 @@ from .shared import stored, texts
 ROUNDS, SMOOTHING, OWN = 3, 0.02, (0.0, 0.03, 0.1, 0.3)
 #: Classes: the languages of the most training documents, and one for all others.
 CLASSES = 8
-#: Bytes of a word up to which it re-estimates the pieces.
-LONG = 256
 #: Bytes of text in the open blocks of a task: larger blocks repeat fewer words in the shuffles and hold more in a task.
 BLOCK_BYTES = 14_000_000
 BLOCK = "block long, class int, idx int, word string, trained long, doc_ids binary, held_out binary, lengths binary, ids binary"
@@ -169,7 +167,7 @@ def learned_pieces(counts: DataFrame, classes: int, path: str, rounds: int = ROU
     lattice = lattice_of(path)
     weights = np.tile(lattice.scores[:-1], (classes, 1))
     once = [F.when(F.col(f"t{k}") == 1, k) for k in range(classes)]
-    known = stored(counts.filter(F.octet_length("word") <= LONG).select("word", F.explode(F.array_compact(F.array(*once))).alias("class")), "words-met-once")
+    known = stored(counts.select("word", F.explode(F.array_compact(F.array(*once))).alias("class")), "words-met-once")
     for _ in range(rounds):
 
         def expect(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
