@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts whose sets of five-word shingles are alike at 0.8 or more stays."""
+    """One document stays of each group of texts whose SimHash fingerprints link or whose sets of five-word shingles are alike at 0.8 or more."""
     return op05_simhash.keep_one(docs, similar=True)
 
 

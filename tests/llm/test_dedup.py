@@ -196,6 +196,30 @@ def test_keep_one_of_similar_texts(spark, docs, nothing):
     assert simhash.keep_one(nothing, similar=True).count() == 0
 
 
+def test_similar_texts_are_linked_by_fingerprints_too(spark):
+    """Texts within three bits are one group however unlike their sets are, through texts that have both kinds of link."""
+    draw = random.Random(8)
+    tail = lambda n: " ".join(f"t{draw.randrange(10**6)}" for _ in range(n))
+    same = "buy it now " * 60
+    first = same + tail(40)
+    texts = {5: first, 6: same + tail(40), 7: same.upper() + tail(50), 8: tail(60), 9: tail(3), 4: f"{first} {first}"}
+    texts |= {10: f"{texts[6]} and", 11: tail(60)}
+    fps = {i: plain_fingerprint(t) for i, t in texts.items()}
+    assert all((fps[5] ^ fps[i]).bit_count() <= 3 for i in (6, 7, 10)) and all((fps[5] ^ fps[i]).bit_count() > 3 for i in (8, 9, 11))
+    assert all(likeness(texts[i], texts[j]) < 0.2 for i, j in ((5, 6), (5, 7), (6, 7))) and likeness(texts[6], texts[10]) > 0.9 and likeness(texts[4], first) > 0.9
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert sorted(r.doc_id for r in simhash.keep_one(rows, similar=True).collect()) == [4, 8, 9, 11]
+
+
+def test_similar_groups_hold_all_fingerprint_groups(spark):
+    """No two rows that stay are in one component of the fingerprints, against all pairs."""
+    draw = random.Random(9)
+    rows = [(i, " ".join(draw.choices("ab", k=draw.randrange(1, 7))) + draw.choice(["", " c" * 30, " c d" * 40])) for i in range(150)]
+    roots = plain_components([plain_fingerprint(t) for _, t in rows])
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), similar=True).collect()}
+    assert len({roots[i] for i in kept}) == len(kept) <= len({*roots}) < len({t for _, t in rows})
+
+
 @pytest.mark.parametrize("block", [3, 256])
 def test_every_pair_that_meets_is_verified(spark, block):
     """One bucket: chains of alike texts, unlike texts, and the least member like none; in blocks of any size."""

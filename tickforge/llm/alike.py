@@ -1,8 +1,9 @@
-"""Groups of texts whose sets of five-word shingles are alike at 0.8 or more, by balls over symbols of least hashes.
+"""Groups of texts that SimHash links or whose sets of five-word shingles are alike at 0.8 or more, by balls over bits, then over symbols.
 
-SimHash bits are too coarse for this likeness: two sets at 0.8 differ in up to 0.15 of their bits, so a ball that catches 95 of 100 such
-pairs has some 400 variants a text, and needs more bits, hence more variants, the more texts there are. Here the fingerprint's places hold
-symbols instead of bits: the least value of the set's shingles under a hash of the place's own, which two sets share with
+First come the links of ``op05_simhash``, all of them: fingerprints of three-word shingles, balls of half the radius, verification over all 64 bits
+(see ``fingerprinted``). They find copies and texts of few edits; for likeness 0.8 SimHash bits are too coarse: two sets at 0.8 differ in up to 0.15 of their bits, so a ball that catches 95 of 100 such
+pairs has some 400 variants a text, and needs more bits, hence more variants, the more texts there are. So texts get fingerprints of a second kind,
+whose links are added to those of the first; their places hold symbols instead of bits: the least value of the set's shingles under a hash of the place's own, which two sets share with
 exactly the chance of their likeness, whatever the edit was. A text has ``PRINTS`` fingerprints of ``SYMBOLS`` symbols; the ball
 of half the radius is what is left with one symbol left out in turn, tagged by its place (24 variants in all). Two texts meet where a
 fingerprint of theirs differs in one symbol at most: with a chance of 0.986 at a likeness of 0.8, 0.998 at 0.85; unlike texts never share five symbols.
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .op05_simhash import SEED, components
+from .op05_simhash import SEED, components, fingerprint, links
 from .shared import stored, texts
 
 SHINGLE, LIKE = 5, 0.8
@@ -57,12 +58,12 @@ def _distinct(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """XXH64 of words, remembered for up to 500,000 of them."""
+    """XXH64 of words, remembered for up to 100,000 of them."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word, SEED)
         return h
@@ -130,19 +131,31 @@ def _hashes(sketch: bytes) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, node, least, variants and the named columns of every whole text."""
+    """doc_id, fp (SimHash), node, least, variants and the named columns of every whole text."""
     rows = texts(docs, *more)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                new = zip(*(sketch(t.as_py()) for t in part.column(1)), strict=True)
+                new = zip(*((fingerprint(t), *sketch(t)) for t in (x.as_py() for x in part.column(1))), strict=True)
                 columns = [pa.array([v.view(np.int64) for v in c] if pa.types.is_list(k) else c, k) for c, k in zip(new, kinds, strict=True)]
-                yield pa.record_batch([part.column(0), *columns, *part.columns[2:]], names=["doc_id", "node", "least", "variants", *more])
+                yield pa.record_batch([part.column(0), *columns, *part.columns[2:]], names=["doc_id", "fp", "node", "least", "variants", *more])
+        # the worker lives on and does other work
+        _words.clear()
 
-    return rows.mapInArrow(take, ", ".join(["doc_id long, node long, least binary, variants array<long>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
+    return rows.mapInArrow(take, ", ".join(["doc_id long, fp long, node long, least binary, variants array<long>", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in more)]))
+
+
+def fingerprinted(sketches: DataFrame) -> DataFrame:
+    """a, b: links of nodes that connect all texts whose SimHash fingerprints are equal or within the radius."""
+    each = stored(sketches.groupBy("fp").agg(F.min("node").alias("low"), F.max("node").alias("high")), "fingerprints")
+    equal = sketches.join(each.filter("low <> high"), "fp").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    near = stored(links(each), "fingerprint-links")
+    for end in ("a", "b"):
+        near = near.join(each.select(F.col("fp").alias(end), F.col("low").alias(f"low_{end}")), end)
+    return equal.union(near.select("low_a", "low_b")).filter("a <> b").distinct()
 
 
 def verified(each: DataFrame, least: DataFrame) -> DataFrame:
@@ -229,7 +242,7 @@ def rooted(sketches: DataFrame) -> DataFrame:
     # the hashes of the members alone, for all that follows
     ends = stored(met.select(F.col("a").alias("node")).union(met.select(F.col("b").alias("node"))).distinct(), "ends")
     least = stored(sketches.join(ends, "node", "left_semi").groupBy("node").agg(F.min("least").alias("least")), "least")
-    roots = components(stored(verified(met, least), "links"))
+    roots = components(stored(fingerprinted(sketches).union(verified(met, least)), "links"))
     more = crossed(members, roots, least)
     if more is None:
         return roots

@@ -11,8 +11,8 @@ A bucket never yields all its pairs: links that only confirm what a task already
 bucket of over ``PAIRED`` members is linked by a second ball hashing over its left-out bits (see ``_star``), which
 is linear in its size and loses no connection. Components come from alternating large-star and small-star rounds.
 
-``keep_one(docs, similar=True)`` is for texts whose sets of five-word shingles are alike at 0.8 or more, which 3 of 64 bits
-seldom find; there the balls are over symbols instead of bits, see ``alike``.
+``keep_one(docs, similar=True)`` adds to these links those of texts whose sets of five-word shingles are alike at 0.8 or more, which 3 of 64 bits
+seldom find: balls over symbols follow those over bits, see ``alike``.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal doc_ids
 keep all their rows; an empty table gives no rows; other columns are not read.
@@ -286,7 +286,7 @@ def keep_one(docs: DataFrame, similar: bool = False) -> DataFrame:
     """One row of each component stays, whatever doc_ids its rows have: that of the smallest doc_id (rows without one
     last), then of the smallest digest of id and text; of rows that repeat both, the one whose columns come first in order.
 
-    Components are those of ``near_duplicates``, or, if similar, of texts alike at 0.8 over five-word shingles. The choice is made on ids, fingerprints and digests; whole rows are shuffled once, by digest.
+    Components are those of ``near_duplicates``; if similar, texts alike at 0.8 over five-word shingles are linked too. The choice is made on ids, fingerprints and digests; whole rows are shuffled once, by digest.
     """
     from . import alike
 
