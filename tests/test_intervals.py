@@ -3,6 +3,7 @@
 import random
 from collections import deque
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,18 @@ def test_sketches_merge_within_their_errors(spark):
         assert abs(df.filter(F.col("value") <= found[0][q]).count() / n - r) < 0.0175
 
 
+def test_rollup_equals_sql_beyond_a_sketch(spark, tmp_path):
+    """Candles of thousands of rows, users and values, beside ones without symbol, time, user or value."""
+    con = duckdb.connect()
+    con.execute("""CREATE VIEW events AS SELECT i AS event_id, CASE WHEN i % 501 <> 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (i * 2) SECOND END AS ts, CASE WHEN i % 7 <> 0 THEN hash(i) % 9000 END::BIGINT AS user_id,
+        CASE WHEN i % 3 = 0 THEN 'a' WHEN i % 97 <> 0 THEN 'b' WHEN i % 2 = 0 THEN 'c' END AS event_type, CASE WHEN event_type <> 'c' AND i % 11 <> 0 THEN hash(i + 1) % 40000 / 100.0e0 END AS value, '' AS props FROM range(30000) r(i)""")
+    con.execute(f"COPY (SELECT * FROM events) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = catalog.QUERIES["sketch_rollup"](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLE['sketch_rollup']})").fetchall()
+    assert max(r[2] for r in want) > 4000 and None in {r[0] for r in want} and None in {r[1] for r in want} and None in {r[4] for r in want}
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_table_functions_read_views(spark):
     from tickforge.functions import table
 

@@ -215,10 +215,11 @@ def _users(spark, d) -> DataFrame:
 @query("sketch_rollup", """SELECT event_type AS symbol, epoch_us(ts) // 14400000000 * 14400 AS time, count(*) AS n, count(DISTINCT user_id) AS users,
     quantile_disc(value, 0.25) AS q25, quantile_disc(value, 0.5) AS q50, quantile_disc(value, 0.75) AS q75 FROM events GROUP BY ALL""")
 def sketch_rollup(spark, d):
-    """Users and price quantiles of four-hour candles from the stored sketches of half-hour ones."""
-    where = f"{live.folder(spark)}/sketches"
-    sketches.by_candle(_users(spark, d), 1800, "user_id", "value").write.parquet(where)
-    return sketches.estimates(sketches.rolled_up(spark.read.parquet(where), 14_400))
+    """Users and price quantiles of four-hour candles from the stored tallies of half-hour ones, exact however many rows a candle has."""
+    where, tallies = live.folder(spark), sketches.tallied(_users(spark, d), 1800, "user_id", "value")
+    for name, tally in zip(("who", "prices"), tallies, strict=True):
+        tally.write.parquet(f"{where}/{name}")
+    return sketches.exact(*[sketches.widened(spark.read.parquet(f"{where}/{name}"), 14_400) for name in ("who", "prices")])
 
 
 # SQL text
