@@ -1,8 +1,11 @@
 """A stream in many micro-batches ends as the batch does; sources round-trip."""
 
 import json
+import random
+import weakref
 
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
 from tests.conftest import rows_of
@@ -22,6 +25,59 @@ def test_batch_equals_stream(spark, tmp_path):
     assert rows_of(shown(live.run_to_table(live.quote(stream)))) == rows_of(shown(folds.simulate(df)))
 
 
+def test_one_large_batch_is_read_by_parts(spark, tmp_path, monkeypatch):
+    """Rows in no order and with times that repeat, many more than are held at once: the steps are the batch's, given by parts."""
+    draw = random.Random(4)
+    rows = [(s, i, i % 50 * 1000, c, c / 100, False) for k, s in enumerate("ab") for i, c in enumerate(walk(1500, k))]
+    draw.shuffle(rows)
+    df = spark.createDataFrame(rows, TICK)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(live, "in_order", lambda frames, schema, by, order=live.in_order: order(frames, schema, by, held=64))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = live.run_to_table(live.quote(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    shown = lambda x: x.select("symbol", "seq", "side", F.round("net_worth", 6), F.round("sigma", 9))
+    assert rows_of(shown(got)) == rows_of(shown(folds.simulate(df)))
+
+
+def test_a_recording_is_played_in_bounded_batches(spark, tmp_path):
+    """Files in no order, one of them with most rows: every micro-batch has a bounded number of rows, all of them after the batch before."""
+    df = spark.createDataFrame([("a", k * 3, k % 9) for k in range(2000)], "symbol string, seq long, ts_ms long")
+    for part in ("seq > 1500", "seq <= 1500 and seq % 2 = 1", "seq <= 1500 and seq % 2 = 0"):
+        df.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    seen = []
+    stream = live.replayed(spark.read.parquet(str(tmp_path / "in")), 250)
+    sink = lambda rows, batch: seen.append(sorted(r.seq for r in rows.collect()))
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert [q for batch in seen for q in batch] == [k * 3 for k in range(2000)] and len(seen) >= 8 and max(map(len, seen)) <= 500
+    assert live.replayed(df.filter("false")).isStreaming
+
+
+def test_order_by_parts_holds_few_rows():
+    """Frames are taken as they come, and rows given from files; nulls come last."""
+    draw = random.Random(7)
+    rows = [(draw.randrange(40), draw.choice([None, *range(9)]), k, float("nan") if k == 5 else k / 2, None if k == 9 else k % 2 == 0) for k in range(3000)]
+    rows[17] = (None, 3, 17, 0.0, True)
+    taken, most = [], 0
+
+    def frames():
+        nonlocal most
+        for k in range(0, len(rows), 100):
+            frame = pd.DataFrame(rows[k : k + 100], columns=[x.split()[0] for x in live.TICK.split(", ")]).astype({"seq": object, "ts_ms": object})
+            frame = frame.where(frame.notna() | (frame.columns == "price"), None)
+            taken.append(weakref.ref(frame))
+            yield frame
+            del frame
+            most = max(most, sum(r() is not None for r in taken))
+
+    got = list(live.in_order(frames(), live.TICK, ["seq", "ts_ms"], held=250))
+    last = lambda x: (x is None, x or 0)
+    assert [g[:2] for g in got] == sorted((r[:2] for r in rows), key=lambda r: [last(x) for x in r]) and most <= 1
+    assert sorted(map(repr, got)) == sorted(map(repr, rows)) and got == list(live.in_order(iter([]), live.TICK, ["seq"])) + got
+
+
 def test_feed_messages(spark):
     lines = spark.createDataFrame([('{"p": "60000.5", "q": "0.25", "m": true, "T": 17}',), ("rubbish",)], "value string")
     assert [tuple(r) for r in live.parse_trades(lines, "X").collect()] == [(17, "X", 17, 6_000_050, 60000.5, 0.25, True)]

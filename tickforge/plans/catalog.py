@@ -526,6 +526,10 @@ def stream_ticks(spark, d):
     return live.run_to_table(rows.select("symbol", "seq", "ts_ms", m.whole_price(F.col("price")).alias("scaled_price")))
 
 
+def _replayed_ticks(spark, d):
+    return live.replayed(t.ticks(spark, d).select("symbol", "seq", "ts_ms", "cents", "price"))
+
+
 @query("stream_mm", ORACLE["mm_sim_live"])
 def stream_mm(spark, d):
     return _shown(live.run_to_table(live.quote(_live_ticks(spark, d))))
@@ -534,7 +538,7 @@ def stream_mm(spark, d):
 @query("stream_telemetry", f"""WITH RECURSIVE {sql.sim()} SELECT symbol, seq, ts_ms AS timestamp, mid AS mid_price, round(net_worth, 2) AS net_worth, round(inventory, 2) AS inventory_btc, is_quoting,
     CASE WHEN side IS NULL THEN 0 ELSE 1 END AS executions FROM steps""")
 def stream_telemetry(spark, d):
-    sent = live.run_to_table(live.telemetry(live.quote(_live_ticks(spark, d))))
+    sent = live.run_to_table(live.telemetry(live.quote(_replayed_ticks(spark, d))))
     return sent.withColumn("executions", F.size("latest_executions")).drop("latest_executions")
 
 
