@@ -532,7 +532,7 @@ def _replayed_ticks(spark, d):
 
 @query("stream_mm", ORACLE["mm_sim_live"])
 def stream_mm(spark, d):
-    return _shown(live.run_to_table(live.quote(_live_ticks(spark, d))))
+    return _shown(live.run_to_table(live.quote(_replayed_ticks(spark, d))))
 
 
 @query("stream_telemetry", f"""WITH RECURSIVE {sql.sim()} SELECT symbol, seq, ts_ms AS timestamp, mid AS mid_price, round(net_worth, 2) AS net_worth, round(inventory, 2) AS inventory_btc, is_quoting,
