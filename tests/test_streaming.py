@@ -6,7 +6,9 @@ import weakref
 
 import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from tests.conftest import rows_of
 from tests.test_folds import TICK, walk
@@ -134,6 +136,38 @@ def test_csv_lines_are_numbered_over_files_and_splits(spark, tmp_path):
     assert (good.count(), bad.count()) == (2, 0)
 
 
+def test_messages_are_numbered_in_chunks(spark, tmp_path, monkeypatch):
+    """Days and orders with many lines, repeated lines, lines without day or order: the numbers of one window by symbol, from many tasks."""
+    draw = random.Random(3)
+    day = lambda: draw.choice([None, *["1995-01-02"] * 3, "1995-01-05", "1996-07-01"])
+    rows = [(draw.choice([None, *range(60)]), draw.randrange(4), 1, draw.randrange(8), 2.0, 50.0, draw.choice("AAR"), day()) for _ in range(1500)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, day string")
+    lines.withColumn("l_shipdate", F.expr("cast(day as timestamp_ntz)")).drop("day").write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(tables, "ROWS", 7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = tables.messages(spark, str(tmp_path), by_symbol=False)
+        assert rows_of(got) == rows_of(tables.messages(spark, str(tmp_path))) and got.count() == 1500
+        assert got.filter("symbol = 'A'").groupBy(F.spark_partition_id().alias("p")).count().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+@pytest.mark.parametrize("name", ["csv_messages"])
+def test_numbered_messages_are_written_in_order_of_file_names(spark, name, monkeypatch):
+    """Many small files: what is read back is in the order of seq, and the messages are computed once."""
+    from tickforge.plans import catalog
+
+    monkeypatch.setattr(tables, "FILE_ROWS", 300)
+    monkeypatch.setattr(DataFrame, "orderBy", lambda *a: pytest.fail("sorts by a sample"))
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    found = catalog.QUERIES[name](spark, folder)
+    assert sorted(map(tuple, found.collect())) == sorted(con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.ORACLE[name]})").fetchall())
+    assert len(found.inputFiles()) > 6
+
+
 def test_late_rows_are_dropped_once_their_window_is_closed(spark):
     from tickforge.plans import catalog
 

@@ -48,7 +48,8 @@ _NUMBERED = "seq - 1 AS seq, symbol, timestamp, type, order_id, side, price, qty
 
 
 def _csv_of(spark, d, folder: str, symbol: str, name: str) -> None:
-    t.write_messages_csv(t.messages(spark, d).filter(F.col("symbol") == symbol), f"{folder}/{name}.csv")
+    n = t.messages(spark, d).filter(F.col("symbol") == symbol).count()  # no number of theirs is computed for it
+    t.write_messages_csv(t.messages(spark, d, by_symbol=False).filter(F.col("symbol") == symbol), f"{folder}/{name}.csv", n=n)
 
 
 @query("csv_messages", f"WITH {sql.MESSAGES} SELECT {_NUMBERED} FROM messages WHERE seq > 1")

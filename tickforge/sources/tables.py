@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tickforge.operators.chunks import CHUNK, ROWS, chunk_of
+
 MESSAGE = "timestamp long, type int, order_id long, side int, price long, qty long, _corrupt_record string"
 TRADE = "a long, T long, p string, q string, m boolean"
 KLINE = "array<string>"
+#: Lines of a CSV file of messages that are numbered without gaps.
+FILE_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +43,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = lines.groupBy(*place).agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
     before = F.sum("__n").over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1))
     based = splits.select(*place, "__first", F.coalesce(before, F.lit(0)).alias("__base"))
-    return lines.join(based, place).select((F.col("__id") - F.col("__first") + F.col("__base")).alias("seq"), "value")
+    return lines.join(F.broadcast(based), place).select((F.col("__id") - F.col("__first") + F.col("__base")).alias("seq"), "value")
 
 
 def read_messages_csv(spark: SparkSession, path: str, symbol: str, skip_first_row: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -53,9 +57,17 @@ def read_messages_csv(spark: SparkSession, path: str, symbol: str, skip_first_ro
     return read.filter(good).select("seq", F.lit(symbol).alias("symbol"), "m.*").drop("_corrupt_record"), read.filter(~good).select("seq", "value")
 
 
-def write_messages_csv(messages: DataFrame, path: str, one_file: bool = False) -> None:
-    """The six integers a line, no header, in the order of seq: in files whose names follow that order, or in one."""
-    rows = messages.orderBy("seq").select("timestamp", "type", "order_id", "side", "price", "qty")
+def write_messages_csv(messages: DataFrame, path: str, one_file: bool = False, n: int | None = None) -> None:
+    """The six integers a line, no header, in the order of seq: in files whose names follow that order, or in one.
+
+    ``n``: the numbers are 1 to n, so that rows are dealt to files by them and needn't be sampled, which would compute them twice.
+    """
+    if n is None or one_file:
+        rows = messages.orderBy("seq")
+    else:
+        nth = F.floor((F.col("seq") - 1) / FILE_ROWS).cast("int")
+        rows = messages.repartitionById(-(-n // FILE_ROWS) or 1, nth).sortWithinPartitions("seq")
+    rows = rows.select("timestamp", "type", "order_id", "side", "price", "qty")
     (rows.coalesce(1) if one_file else rows).write.csv(path, header=False)
 
 
@@ -107,12 +119,33 @@ def raw_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order messages: lines of an order below 6 add, 6 cancels and 7 executes an earlier message's id."""
+def _numbered_in_chunks(lines: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Adds seq, the number of each line of its key in order, by chunks of a value of the first order column and a range of the second.
+
+    A row a chunk tells how many lines of its key are before it. It lies first in its chunk, so that all is dealt once and nothing is joined.
+    """
+    chunk = [key, order[0], CHUNK]
+    dealt = lines.withColumn(CHUNK, chunk_of(order[1], ROWS))
+    before = Window.partitionBy(key).orderBy(order[0], CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy(*chunk).agg(F.count("*").alias("__n")).select(*chunk, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    rows = bases.unionByName(dealt, allowMissingColumns=True)
+    w = Window.partitionBy(*chunk).orderBy(F.col("__base").isNull(), *order[1:])
+    numbered = rows.withColumn("seq", F.first("__base").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.row_number().over(w) - 1)
+    return numbered.filter(F.col("__base").isNull()).drop("__base", CHUNK)
+
+
+def messages(spark: SparkSession, sf_dir: str, by_symbol: bool = True) -> DataFrame:
+    """Order messages: lines of an order below 6 add, 6 cancels and 7 executes an earlier message's id.
+
+    ``by_symbol``: a symbol's rows stay together in order, for a fold to read; otherwise they are dealt in chunks.
+    """
     x = table(spark, sf_dir, "lineitem")
     order = ["l_shipdate", *[c for c in x.columns if c not in ("l_shipdate", "l_returnflag")]]
-    seq = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*order)).cast("long")
-    x = x.withColumn("seq", seq)
+    if by_symbol:
+        seq = F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*order)).cast("long")
+        x = x.withColumn("seq", seq)
+    else:
+        x = _numbered_in_chunks(x, "l_returnflag", order)
     kind = F.when(F.col("l_linenumber") < 6, 1).when(F.col("l_linenumber") == 6, 2).otherwise(3)
     earlier = F.greatest(F.col("seq") - 1 - F.col("l_partkey") % 50, F.lit(0))
     return x.select(
