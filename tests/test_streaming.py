@@ -153,7 +153,7 @@ def test_messages_are_numbered_in_chunks(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
-@pytest.mark.parametrize("name", ["csv_messages"])
+@pytest.mark.parametrize("name", ["csv_messages", "csv_fallback"])
 def test_numbered_messages_are_written_in_order_of_file_names(spark, name, monkeypatch):
     """Many small files: what is read back is in the order of seq, and the messages are computed once."""
     from tickforge.plans import catalog
