@@ -99,3 +99,39 @@ def test_table_functions_read_views(spark):
     assert spark.sql("SELECT count(*) AS n FROM candles WHERE symbol = 'click'").first().n > 0
     got = spark.sql("SELECT * FROM tick_runs(TABLE(SELECT * FROM VALUES ('x', 1L, 5L), ('x', 2L, 5L), ('x', 3L, 6L), ('x', 4L, 5L), ('y', 1L, 5L) AS t(symbol, seq, timestamp)) PARTITION BY symbol ORDER BY seq)")
     assert rows_of(got) == rows_of(spark.createDataFrame([("x", 1, 5, 1), ("x", 2, 5, 1), ("x", 3, 6, 2), ("x", 4, 5, 3), ("y", 1, 5, 1)], "symbol string, seq long, timestamp long, tick long"))
+
+
+@pytest.mark.parametrize("rows", [1, 7, 100, 1_000_000])
+def test_tick_runs_of_one_symbol_over_chunks(spark, rows):
+    """Runs longer than chunks, numbers that are missing, rows without timestamp or symbol: SQL's runs, whatever the chunks; many tasks."""
+    from tickforge.functions import table
+    from tickforge.operators import chunks
+
+    draw = random.Random(rows)
+    data, at = [], 0
+    for seq in sorted(draw.sample(range(1, 2000), 900)):
+        at += draw.random() < 0.08
+        data.append((draw.choice(["a", "a", "a", "b", None]), seq, None if draw.random() < 0.02 else at % 50))
+    want, last = {}, {}
+    for symbol, seq, timestamp in data:
+        tick, before = last.get(symbol, (0, None))
+        last[symbol] = (tick + (before is None or timestamp != before), timestamp)
+        at, n, first = want.get((symbol, last[symbol][0]), (timestamp, 0, seq))
+        want[symbol, last[symbol][0]] = (at, n + 1, first)
+    table.open_sql(spark, f"{DATA}/sf0.001")
+    draw.shuffle(data)
+    spark.createDataFrame(data, "symbol string, seq long, timestamp long").createOrReplaceTempView("messages")
+    got = spark.sql(table.TICK_RUNS.replace(f"DIV {chunks.ROWS}", f"DIV {rows}"))
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*k, *v) for k, v in want.items()), key=repr)
+
+
+def test_tick_runs_are_not_bound_to_a_task_a_symbol(spark):
+    from tickforge.functions import table
+
+    table.open_sql(spark, f"{DATA}/sf0.001")
+    found = spark.sql(table.TICK_RUNS)
+    assert found.count() == len(found.collect()) > 0
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    dealt = [x for x in plan.splitlines() if "hashpartitioning(" in x]
+    assert plan.count("ArrowEvalPythonUDTF") == 1  # once, though its runs are read twice
+    assert all(x.split("hashpartitioning(")[1].count("#") > 1 for x in dealt if "partition_by" in x) and any("partition_by" in x for x in dealt)

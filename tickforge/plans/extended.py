@@ -228,8 +228,7 @@ def sketch_rollup(spark, d):
 @query("sql_tick_runs", ORACLE["replay_ticks"])
 def sql_tick_runs(spark, d):
     table_functions.open_sql(spark, d)
-    return spark.sql("""SELECT symbol, tick, min(timestamp) AS timestamp, count(*) AS n, min(seq) AS first_seq
-        FROM tick_runs(TABLE(SELECT symbol, seq, timestamp FROM messages) PARTITION BY symbol ORDER BY seq) GROUP BY symbol, tick""")
+    return spark.sql(table_functions.TICK_RUNS)
 
 
 @query("sql_rolling_vol", ORACLE["rolling_vol"])
